@@ -22,6 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_file(WORDS))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -34,5 +40,67 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), tokenizer_file(WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_ring_sharding, op9_token_counts)}
-SQL: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(common.table(spark, sf_dir, "documents"))
+
+
+_QUALITY_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT k, doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+win AS (SELECT k, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+dup AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT k, count(DISTINCT i + j) AS n FROM dup, (VALUES (0), (1), (2), (3), (4)) AS v(j) GROUP BY k),
+s AS (
+  SELECT w.k, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_marks,
+         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.k = w.k),
+r AS (
+  SELECT k, lang, source, unnest([
+    {'rule': 0, 'bin': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'slack': 60},
+    {'rule': 1, 'bin': least(1000, 1000 * n_marks // greatest(word_chars, 1)), 'slack': 60},
+    {'rule': 2, 'bin': least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), 'slack': 100},
+    {'rule': 3, 'bin': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'slack': 300},
+    {'rule': 4, 'bin': least(1000, 40 * word_chars // greatest(n_words, 1)), 'slack': 160}], recursive := true)
+  FROM s),
+own AS (SELECT lang, source, rule, slack, bin, count(*) AS n FROM r GROUP BY ALL),
+levels AS (
+  SELECT 1 AS level, lang, source, rule, slack, bin, n FROM own
+  UNION ALL SELECT 2, lang, NULL, rule, slack, bin, sum(n) FROM own GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, rule, slack, bin, sum(n) FROM own GROUP BY ALL),
+cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS seen,
+         sum(n) OVER (PARTITION BY level, lang, source, rule) AS n_all
+  FROM levels),
+q AS (
+  SELECT level, lang, source, rule, slack, n_all, min(bin) FILTER (WHERE seen * 100 >= n_all * 25) AS q1,
+         min(bin) FILTER (WHERE seen * 100 >= n_all * 75) AS q3
+  FROM cum GROUP BY ALL),
+pick AS (
+  SELECT o.lang, o.source, o.rule, o.slack,
+         CASE WHEN o.n_all >= 50 THEN o.q1 WHEN t.n_all >= 50 THEN t.q1 ELSE e.q1 END AS q1,
+         CASE WHEN o.n_all >= 50 THEN o.q3 WHEN t.n_all >= 50 THEN t.q3 ELSE e.q3 END AS q3
+  FROM (FROM q WHERE level = 1) o
+  LEFT JOIN (FROM q WHERE level = 2) t ON t.lang IS NOT DISTINCT FROM o.lang AND t.rule = o.rule
+  LEFT JOIN (FROM q WHERE level = 3) e ON e.rule = o.rule),
+v AS (
+  SELECT r.k, bool_and(bin <= q3 + greatest(3 * (q3 - q1), p.slack)
+                       AND (r.rule < 4 OR bin >= q1 - greatest(3 * (q3 - q1), p.slack))) AS good
+  FROM r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.rule = r.rule
+  GROUP BY r.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good AS kept
+FROM s JOIN v ON v.k = s.k
+"""
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_dedup, op8_ring_sharding, op9_token_counts, op10_quality_rules)}
+SQL: dict[str, str] = {"op10_quality_rules": _QUALITY_RULES_SQL}
