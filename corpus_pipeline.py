@@ -1,11 +1,45 @@
-"""Document pipeline (under construction)."""
+"""Document pipeline: quality classifier, quality rules, SimHash near-dedup, best-fit packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir).  All but the last return the columns of ``docs``; the last
+returns the packed pieces.  The classifier learns from the labels in ``sf_dir``.  Duplicates are
+judged after both filters, so a rejected copy can't stand in for a clean one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomdex.llm import common, packing, quality_classifier, quality_rules, simhash
+from loomdex.llm.queries import WORDS, tokenizer_file
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_file(WORDS))
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("simhash_dedup", deduplicate), ("best_fit_packing", pack)]
+
+#: No SQL: neither the learnt classifier nor XXH64 fingerprints can be expressed in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and reread as the next one's input."""
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.materialise(docs, name)
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = "word_bpe_49k.json"
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,12 +22,43 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_file(WORDS))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(common.table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import round_trips
+
+    return round_trips(common.table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -102,5 +133,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s JOIN v ON v.k = s.k
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_simhash_dedup, op8_ring_sharding, op9_token_counts, op10_quality_rules)}
-SQL: dict[str, str] = {"op10_quality_rules": _QUALITY_RULES_SQL}
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_quality_classifier,
+        op3_exact_top_k,
+        op4_license_scan,
+        op5_language_id,
+        op6_simhash_dedup,
+        op7_sentencepiece,
+        op8_ring_sharding,
+        op9_token_counts,
+        op10_quality_rules,
+    )
+}
+SQL: dict[str, str] = {"op3_exact_top_k": _TOP_K_SQL, "op10_quality_rules": _QUALITY_RULES_SQL}
