@@ -223,15 +223,18 @@ class Job:
 
     def run(self, parts: DataFrame, key: list[str]) -> DataFrame:
         """``parts`` with text; ``key`` names a chunk.  Returns each chunk's latest result, or pending ones."""
-        failing = 0
+        failing, tried = 0, []
         while not (self.paused or self.stopped):
             done = self.results(parts)
             left = parts if done is None else parts.join(done.filter("status = 'completed' or not threw").select(*key), key, "left_anti")
+            if tried:  # what failed in this run waits for the next one
+                left = left.join(parts.sparkSession.read.parquet(*tried).select(*key), key, "left_anti")
             now = left.orderBy(*key).limit(self.batch)
             if now.isEmpty():
                 break
             path = f"{self.folder}/batch-{time.time_ns()}"
             enrich(now, self.complete, self.retries, self.concurrency).write.parquet(path)
+            tried.append(path)
             r = parts.sparkSession.read.parquet(path).agg(F.count_if("threw").alias("threw"), F.count_if(F.col("status") == "completed").alias("done")).first()
             failing = failing + r.threw if not r.done else 0
             self.paused = failing >= self.pause_after
