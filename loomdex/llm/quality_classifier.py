@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .sampling import fold, sampled_texts
+from .sampling import fold, sampled_texts, thinned
 
 #: Labelled rows that are learnt from at most.
 SAMPLE = 20_000
@@ -141,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """A forest from at most ``sample`` labelled rows outside fold 0."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.filter((fold("doc_id", folds) != 0) & F.col("label").isin(0, 1)).distinct()
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    rows = thinned(rows, sample).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     known = sampled_texts(docs, rows, "label", text, doc_id).select("doc_id", "label", _statistics("text").alias("x"))
     found = sorted((r.doc_id, r.label, r.x) for r in known.collect())
     x = np.array([r[2] for r in found], np.float64).reshape(-1, FEATURES)

@@ -29,8 +29,8 @@ SCALE, K = 1024, 10
 LEVELS = (4, 16)
 #: Bytes of queries in one broadcast, and rows from which the first thresholds come.
 BLOCK_BYTES, SEED_ROWS = 16 << 20, 1024
-#: Pairs that are bounded at once, and found ones that are kept before the worst are dropped.
-PAIRS, PENDING = 1 << 20, 1 << 18
+#: Pairs that are bounded at once.
+PAIRS = 1 << 20
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -89,7 +89,7 @@ class Search:
         if ok.any():
             self.found.append((q[ok], ids[c[ok]], score[ok].astype(np.int64)))
             self.pending += int(ok.sum())
-            if self.pending > max(PENDING, 4 * self.k * len(self.ids)) or not np.isfinite(self.threshold).all():
+            if self.pending > 4 * self.k * len(self.ids) or not np.isfinite(self.threshold).all():
                 self.best()
 
     @staticmethod
