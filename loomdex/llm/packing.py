@@ -202,7 +202,7 @@ class Placement:
 def _pieces(path: str, separator: int, capacity: int, with_ids: bool):
     def run(batches):
         end = struct.pack("<I", separator)
-        encoder = PretokenEncoder(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        encoder = PretokenEncoder(path, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         for batch in batches:
             rows, ids = [], []
             for doc_id, words in zip(batch.column(0).to_pylist(), encoder.values(batch.column(1).to_pylist()), strict=True):

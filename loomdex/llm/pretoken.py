@@ -13,13 +13,15 @@ The library encodes each pre-token as it stands, so ids are the library's in eit
 
 from __future__ import annotations
 
+import os
 import re
 
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Longer pre-tokens are encoded but not kept.
 LONGEST = 64
-#: Entries of a worker's cache; when it is full it starts anew.
+#: Entries of each generation of a worker's cache.
 CACHE = 262_144
 
 #: The tokenizer's split pattern, its classes of letters and numbers written out for U+0000 to U+00FF.
@@ -37,11 +39,16 @@ def _latin1(text: str) -> bool:
     return True
 
 
+def _plain(text: str) -> bool:
+    """Whether the first split holds: Latin-1 throughout, and no special token."""
+    return "<|" not in text and _latin1(text)
+
+
 def pretokens(text: str | None) -> list[str]:
     """The pre-tokens of ``text`` in order; a null text has none.  Special tokens stay in one piece."""
     if not text:
         return []
-    if "<|" not in text and _latin1(text):
+    if _plain(text):
         return _LATIN.findall(text.lower())
     return [x for x in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x]
 
@@ -49,40 +56,60 @@ def pretokens(text: str | None) -> list[str]:
 class PretokenEncoder:
     """Looks pre-tokens up in a first tier (shared, read only), then in this worker's own cache.
 
-    ``value(ids)`` is what is kept of a pre-token: its number of ids, or the ids as bytes.
+    ``value(ids)`` is what is kept of a pre-token, and ``kind`` names it: the worker's cache is kept
+    from task to task by tokenizer and kind.  The cache has two generations of at most CACHE entries
+    and one batch: when the younger is full, the older goes, and what is still in use moves up.
     """
 
-    _by_path: dict[str, Tokenizer] = {}
+    #: By path: the tokenizer, and one without the steps that the first split has already taken.
+    _tokenizers: dict[str, tuple[Tokenizer, Tokenizer]] = {}
+    _caches: dict[tuple[str, str], list[dict]] = {}
+
+    def __init__(self, path: str, kind: str, value, first: dict | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a task on each core already
+        if path not in self._tokenizers:
+            whole = Tokenizer.from_file(path)
+            bare = Tokenizer(whole.model)
+            bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            self._tokenizers[path] = whole, bare
+        (self.whole, self.bare), self.value, self.first = self._tokenizers[path], value, first
+        self.generations = self._caches.setdefault((path, kind), [{}, {}])
 
-    def __init__(self, path: str, value, first: dict | None = None):
-        if path not in self._by_path:
-            self._by_path[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.value, self.first, self.own = self._by_path[path], value, first or {}, {}
+    def encode(self, words: list[str], bare: bool = False):
+        tokenizer = self.bare if bare else self.whole
+        return map(self.value, (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)))
 
     def values(self, texts: list[str | None]) -> list[list]:
         """For each text the values of its pre-tokens; what no tier has is encoded in one batch."""
         split = [pretokens(x) for x in texts]
-        first, own = self.first, self.own
-        missing = [x for x in set().union(*split) if x not in first and x not in own]
-        made = dict(zip(missing, (self.value(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True)) if missing else {}
-        if len(own) + len(made) > CACHE:
-            out = [[first[x] if x in first else own[x] if x in own else made[x] for x in words] for words in split]
-            own.clear()
-            own.update((k, v) for k, v in made.items() if len(k) <= LONGEST)
-            return out
-        short = made if all(len(x) <= LONGEST for x in missing) else {k: v for k, v in made.items() if len(k) <= LONGEST}
-        own.update(short)
-        if first:
-            look, rest = first.get, {**made} if len(short) != len(made) else own
-            out = []
-            for words in split:
-                row = list(map(look, words))
-                if None in row:
-                    row = [rest.get(x) if y is None else y for x, y in zip(words, row, strict=True)]
-                    if None in row:
-                        row = [own[x] if y is None else y for x, y in zip(words, row, strict=True)]
-                out.append(row)
-            return out
-        if len(short) == len(made):
-            return [list(map(own.__getitem__, words)) for words in split]
-        return [[own[x] if x in own else made[x] for x in words] for words in split]
+        plain = [not x or _plain(x) for x in texts]
+        words = set().union(*split)
+        if self.first:
+            words.difference_update(self.first)
+        young, old = self.generations
+        words = words - young.keys()
+        if words:
+            again = words & old.keys()
+            young.update((x, old[x]) for x in again)
+            fresh = words - again
+            if not all(plain):
+                rest = fresh.intersection(set().union(*(x for x, p in zip(split, plain, strict=True) if not p)))
+                fresh = fresh - rest
+                rest = list(rest)
+                young.update(zip(rest, self.encode(rest), strict=True))
+            fresh = list(fresh)
+            young.update(zip(fresh, self.encode(fresh, bare=True), strict=True))
+        if self.first:
+            look, out = self.first.get, []
+            for x in split:
+                row = list(map(look, x))
+                out.append([young[w] if v is None else v for w, v in zip(x, row, strict=True)] if None in row else row)
+        else:
+            look = young.__getitem__
+            out = [list(map(look, x)) for x in split]
+        for x in words:
+            if len(x) > LONGEST:
+                del young[x]
+        if len(young) > CACHE:
+            self.generations[:] = [{}, young]
+        return out

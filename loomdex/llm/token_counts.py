@@ -53,7 +53,7 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", size: int = FREQUENT
 
 def _counter(path: str, shared):
     def run(batches):
-        encoder = PretokenEncoder(path, len, shared.value)
+        encoder = PretokenEncoder(path, "counts", len, shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts = [sum(x) for x in encoder.values(texts)]
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     spark = docs.sparkSession
     common.prepare(spark)
     words = frequent_pretokens(docs, text)
-    first = dict(zip(words, (x[0] for x in ([len(e.ids)] for e in PretokenEncoder(path, len).tokenizer.encode_batch_fast(words, add_special_tokens=False))), strict=True))
+    first = dict(zip(words, PretokenEncoder(path, "counts", len).encode(words), strict=True))
     shared = spark.sparkContext.broadcast(first)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = rows.mapInArrow(_counter(path, shared), "doc_id long, n_bytes long, n_tokens long")
