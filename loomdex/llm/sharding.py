@@ -79,25 +79,26 @@ def resolve(arcs: np.ndarray, owner: np.ndarray, room: np.ndarray) -> list[list[
 
 
 class Slices:
-    """Ranks of each arc, cut into stretches of one shard with a gapless stretch of its slots."""
+    """Ranks along the ring, cut into stretches of one shard with a gapless stretch of its slots."""
 
     def __init__(self, resolved: list[list[tuple[int, int]]]):
         used: dict[int, int] = {}
-        first, shard, slot, self.begin = [], [], [], [0]
+        first, shard, slot, base, rank = [], [], [], [], 0
         for parts in resolved:
-            rank = 0
+            base.append(rank)
             for s, count in parts:
                 first.append(rank)
                 shard.append(s)
                 slot.append(used.get(s, 0))
                 used[s] = used.get(s, 0) + count
                 rank += count
-            self.begin.append(len(first))
-        self.first, self.shard, self.slot = np.array(first, np.int64), np.array(shard, np.int32), np.array(slot, np.int64)
+        self.base, self.first, self.shard, self.slot = np.array(base, np.int64), np.array(first, np.int64), np.array(shard, np.int32), np.array(slot, np.int64)
 
     def place(self, arc: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.array([self.begin[a] + np.searchsorted(self.first[self.begin[a] : self.begin[a + 1]], r, "right") - 1 for a, r in zip(arc.tolist(), rank.tolist(), strict=True)], np.int64)
-        return self.shard[row], self.slot[row] + rank - self.first[row]
+        """Shard and slot of keys by their arc and their rank within it."""
+        at = self.base[arc] + rank
+        row = np.searchsorted(self.first, at, "right") - 1
+        return self.shard[row], self.slot[row] + at - self.first[row]
 
 
 def _arcs(points: np.ndarray):
