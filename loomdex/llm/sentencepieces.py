@@ -12,7 +12,7 @@ model type and the normaliser's settings.  From them a tokenizers backend is bui
 No piece of a model that keeps words apart has a marker after another character, so texts can be cut in
 front of each run of markers without changing an id (``separable``; models for which that doesn't
 hold are encoded whole).  The cuts are encoded once per worker, in multithreaded batches, and what
-comes out of the backend is verified against the SentencePiece library, cut by cut.  Where the two
+comes out of the backend is verified against the SentencePiece library, cut by cut; a cut's ids are decoded by the backend once as well.  Where the two
 differ (equal scores of overlapping pairs, which the library takes from the left), the library's ids
 are used and the document is marked.
 
@@ -38,7 +38,7 @@ from . import common
 
 MARK = "▁"
 #: Entries of each generation of a worker's cache, and the longest cut that is kept.
-CACHE, LONGEST = 131_072, 64
+CACHE, LONGEST = 262_144, 64
 #: Field numbers and types of the model's protobuf.
 _PIECES, _TRAINER, _NORMALISER = 1, 2, 3
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -135,7 +135,7 @@ def backend(spec: Spec, bare: bool = False) -> Tokenizer:
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
         if separable(spec):
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix else [])])
+    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.prefix and not bare else [])])
     return out
 
 
@@ -152,8 +152,8 @@ class Codec:
         self.whole, self.bare = backend(self.spec), backend(self.spec, bare=True)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if separable(self.spec) else None
-        self.young: dict[str, tuple[bytes, int, bool]] = {}
-        self.old: dict[str, tuple[bytes, int, bool]] = {}
+        self.young: dict[str, tuple[bytes, str, bool]] = {}
+        self.old: dict[str, tuple[bytes, str, bool]] = {}
 
     @classmethod
     def of_worker(cls, path: str) -> Codec:
@@ -173,7 +173,8 @@ class Codec:
         normal = self.normalised(text)
         return self.cut.findall(normal) if self.cut else [normal] if normal else []
 
-    def _verified(self, cuts: list[str]) -> list[tuple[bytes, int, bool]]:
+    def _verified(self, cuts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """Ids, decoded text and whether backend and library agree."""
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         found = [e.ids for e in self.bare.encode_batch_fast(cuts, add_special_tokens=False)]
         plain = [(c[1:] if self.spec.prefix and c[0] == MARK else c).replace(MARK, " ") for c in cuts]
@@ -182,10 +183,11 @@ class Codec:
             right = [r if p == c.replace(MARK, " ").strip(" ") else f for r, f, p, c in zip(right, found, plain, cuts, strict=True)]
         # A lone marker is the library's empty text, which it doesn't encode.
         right = [r if p else f for r, f, p in zip(right, found, plain, strict=True)]
-        return [(struct.pack(f"<{len(r)}I", *r), len(r), r == f) for r, f in zip(right, found, strict=True)]
+        decoded = self.bare.decode_batch(right, skip_special_tokens=False)
+        return [(struct.pack(f"<{len(r)}I", *r), d, r == f) for r, f, d in zip(right, found, decoded, strict=True)]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """For each text its ids as little-endian unsigned 32-bit numbers, and whether the backend gave them all."""
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str, bool]]:
+        """For each text its ids as little-endian unsigned 32-bit numbers, what they decode to, and whether the backend gave them all."""
         split = [self.cuts(t) for t in texts]
         missing = set().union(*split) - self.young.keys()
         if missing:
@@ -197,7 +199,8 @@ class Codec:
         out = []
         for cuts in split:
             found = list(map(look, cuts))
-            out.append((b"".join([f[0] for f in found]), all([f[2] for f in found])))
+            decoded = "".join([f[1] for f in found])
+            out.append((b"".join([f[0] for f in found]), decoded[self.spec.prefix :], all([f[2] for f in found])))
         for c in missing:
             if len(c) > LONGEST:
                 del self.young[c]
@@ -218,10 +221,9 @@ def _coder(path: str):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             coded = codec.encode(texts)
-            decoded = codec.decode([struct.unpack(f"<{len(b) // 4}I", b) for b, _ in coded])
             rows = [
                 (len(b) // 4, zlib.crc32(b), zlib.crc32(d.encode()), d == codec.normalised(t).replace(MARK, " ")[codec.spec.prefix :], p)
-                for t, (b, p), d in zip(texts, coded, decoded, strict=True)
+                for t, (b, d, p) in zip(texts, coded, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types[1:], strict=True))], schema=_SCHEMA)
 
@@ -241,7 +243,7 @@ def encoder(path: str):
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         found = Codec.of_worker(path).encode(texts.tolist())
-        return pd.Series([list(struct.unpack(f"<{len(b) // 4}I", b)) for b, _ in found])
+        return pd.Series([list(struct.unpack(f"<{len(b) // 4}I", b)) for b, _, _ in found])
 
     return encode
 
