@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .text import let
 
+#: The characters of runs, where identifiers have parts, and the longest query.
 CJK = "㐀-鿿豈-﫿"
 RUN = f"[{CJK}]+|[A-Za-z0-9_][A-Za-z0-9_.]*"
-#: An identifier without these has no parts.
 COMPOUND = "[._]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 QUERY_MAX = 512
 

@@ -14,6 +14,8 @@ from ..session import importable
 #: The comment that opens a note: any tool's name, then one JSON object; and the fields of that header.
 HEADER = r"(?s)^<!-- [A-Za-z][A-Za-z0-9_-]*\n(\{.*?\})\n-->\n?"
 TAG = "loomdex"
+#: Fixed value: a line of an export's list of files.
+EXPORT_LINE = r"^\s*(.+?)\s+(?:——|--)\s+(\S+\.[A-Za-z0-9]+)\s*$"
 META = "struct<type:string,createdAt:string,author:string,cwd:string,sourcePath:string,sourceHash:string,sourceTitle:string,coverage:string,scope:string>"
 SCOPE = "struct<kind:string,projects:array<string>>"
 
@@ -64,8 +66,7 @@ def digest_status(digests: DataFrame, sources: DataFrame) -> DataFrame:
 def readme_titles(readmes: DataFrame) -> DataFrame:
     """folder, file, title from lines ``title -- file.ext``; files with several titles or ``..`` are dropped."""
     line = readmes.select("folder", F.explode(as_lines(F.col("text"))).alias("line"))
-    pattern = r"^\s*(.+?)\s+(?:——|--)\s+(\S+\.[A-Za-z0-9]+)\s*$"
-    pairs = line.filter(F.col("line").rlike(pattern)).select("folder", F.replace(F.regexp_extract("line", pattern, 2), F.lit("\\"), F.lit("/")).alias("file"), F.trim(F.regexp_extract("line", pattern, 1)).alias("title"))
+    pairs = line.filter(F.col("line").rlike(EXPORT_LINE)).select("folder", F.replace(F.regexp_extract("line", EXPORT_LINE, 2), F.lit("\\"), F.lit("/")).alias("file"), F.trim(F.regexp_extract("line", EXPORT_LINE, 1)).alias("title"))
     grouped = pairs.groupBy("folder", "file").agg(F.countDistinct("title").alias("n"), F.min("title").alias("title"))
     return grouped.filter((F.col("n") == 1) & (F.col("title") != "") & ~F.contains("file", F.lit(".."))).drop("n")
 
