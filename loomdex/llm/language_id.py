@@ -137,7 +137,7 @@ def _ngrams(texts: pd.Series) -> pd.DataFrame:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter((fold("doc_id", folds) != held_out) & F.col("lang").isNotNull())
-    rows = thinned(rows, per_language, ["lang"]).withColumn("h", F.xxhash64("doc_id"))
+    rows = thinned(rows, per_language, ["lang"], total).withColumn("h", F.xxhash64("doc_id"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     sample = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).orderBy("k", "h", "lang").limit(total).select("doc_id", "lang").distinct()
     known = sampled_texts(docs, sample, "lang", text, doc_id).select("doc_id", "lang", _ngrams("text").alias("x"))

@@ -11,14 +11,15 @@ def fold(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds))
 
 
-def thinned(rows: DataFrame, keep: int, by: list[str] = ()) -> DataFrame:
+def thinned(rows: DataFrame, keep: int, by: list[str] = (), groups: int = 1) -> DataFrame:
     """About twice ``keep`` rows of (doc_id, ...), or of each group ``by``: those whose hash falls in so small a share.
 
     An exact cut to ``keep`` by that hash may follow: it then sees a bounded number of rows, however many tasks
-    there are.  Groups that are smaller stay whole.
+    there are.  Smaller groups stay whole; of more than ``groups`` groups the largest are taken, so that their
+    counts can be broadcast.
     """
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    sized = rows.join(counts, list(by)) if by else rows.join(F.broadcast(counts), F.lit(True))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *by).limit(groups)
+    sized = rows.join(F.broadcast(counts), list(by)) if by else rows.join(F.broadcast(counts), F.lit(True))
     return sized.filter(F.pmod(F.xxhash64("doc_id"), F.greatest("_n", F.lit(1))) < 2 * keep).drop("_n")
 
 
