@@ -17,6 +17,8 @@ CJK = "㐀-鿿豈-﫿"
 RUN = f"[{CJK}]+|[A-Za-z0-9_][A-Za-z0-9_.]*"
 COMPOUND = "[._]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 QUERY_MAX = 512
+#: A text without these has neither CJK runs nor identifiers with parts: its runs are its terms.
+SPECIAL = f"[{CJK}_]|[A-Za-z0-9]\\.[A-Za-z0-9.]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 
 
 def _cjk_terms(run: Column) -> Column:
@@ -47,8 +49,10 @@ def _identifier_terms(run: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Every emission of a term in ``text``, repeats included: their number is the term frequency."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), 0), lambda r: F.regexp_replace(r, r"\.$", ""))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), _cjk_terms(r)).otherwise(_identifier_terms(r))))
+    plain = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0), F.lower)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), 0), lambda r: F.when(r.endswith("."), F.substring(r, F.lit(1), F.length(r) - 1)).otherwise(r))
+    whole = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), _cjk_terms(r)).otherwise(_identifier_terms(r))))
+    return F.when(text.rlike(SPECIAL), whole).otherwise(plain)
 
 
 _SPLIT_CAMEL = re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")

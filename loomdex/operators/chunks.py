@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_lines
-from ..session import importable
+from ..session import importable, spread
 
 MAX_CHARS = 12_000
 PROMPT_VERSION = CHUNK_VERSION = 1
@@ -61,14 +61,14 @@ def chunks(docs: DataFrame, key: str = "doc_id", limit: int = MAX_CHARS) -> Data
     """``key``, idx, start_line, end_line, and the other columns of ``docs`` but its text."""
     lines = F.col("lines") if "lines" in docs.columns else as_lines(F.col("text"))
     keep = [c for c in docs.columns if c not in ("text", "lines")]
-    return docs.select(*keep, F.posexplode(ranges(lines, limit)).alias("idx", "r")).select(*keep, "idx", "r.start_line", "r.end_line")
+    return spread(docs).select(*keep, F.posexplode(ranges(lines, limit)).alias("idx", "r")).select(*keep, "idx", "r.start_line", "r.end_line")
 
 
 def with_text(parts: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks with their lines joined."""
     lines = F.col("lines") if "lines" in docs.columns else as_lines(F.col("text"))
     body = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return parts.join(docs.select(key, lines.alias("_lines")), key).withColumn("text", body).drop("_lines")
+    return parts.join(spread(docs).select(key, lines.alias("_lines")), key).withColumn("text", body).drop("_lines")
 
 
 def reuse(previous: DataFrame, following: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_lines, bucket_of, clean_relative
 from ..functions.tokens import terms
+from ..session import spread
 
 LINES = 8
 
@@ -35,7 +36,7 @@ def postings(docs: DataFrame, key: str = "doc_id", buckets: int | None = None) -
     A document is one row, so the aggregation is complete before its shuffle.  With ``buckets`` the
     term's bucket is added.
     """
-    stretch = docs.select(key, F.explode(_stretches(docs.columns)).alias("s"))
+    stretch = spread(docs).select(key, F.explode(_stretches(docs.columns)).alias("s"))
     emitted = stretch.select(key, "s.field", "s.line", F.explode(terms(F.col("s.text"))).alias("term")).filter("term <> ''")
     out = emitted.groupBy(key, "term").agg(
         F.count("*").alias("tf"), F.array_sort(F.collect_set("field")).alias("fields"), F.slice(F.array_sort(F.collect_set("line")), 1, LINES).alias("lines")

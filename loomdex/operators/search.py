@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_lines, clip_around, decode_entities, fold_space, let
 from ..functions.tokens import needles, parse_query, query_terms
+from ..session import spread
 
 LIMIT, MAX_LIMIT = 8, 20
 K1 = 1.2
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, query: str, extra: Column | None = None) -> DataFrame:
     lines = as_lines(F.col("text"))
     body = _hay(F.array_join(lines, "\n"), decode_entities(F.array_join(lines, "\n")))
     head = _hay(F.replace(F.col("rel_path"), F.lit("\\"), F.lit("/")), F.coalesce(extra, F.lit("")) if extra is not None else F.lit(""))
-    with_hay = docs.withColumn("_head", head).withColumn("_body", body)
+    with_hay = spread(docs).withColumn("_head", head).withColumn("_body", body)
     for w in words:
         with_hay = with_hay.filter(F.contains("_head", F.lit(w)) | F.contains("_body", F.lit(w)))
     score = sum((F.contains("_head", F.lit(w)).cast("int") for w in words), F.lit(0))

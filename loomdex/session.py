@@ -1,10 +1,10 @@
-"""What Python workers need to know of this package."""
+"""What sessions need to know of this package, and how small inputs are spread."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -14,3 +14,14 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+#: A split of input is worth a task from this size on.
+SPLIT_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows that would fill fewer tasks than there are cores; larger inputs come in enough splits and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
