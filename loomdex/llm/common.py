@@ -7,7 +7,6 @@ re-running Python) and are removed when the session's JVM ends.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,22 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable, spread
+
 #: Rows and bytes in one Arrow batch; both bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
-#: A broadcast made by an operator may have at most this many bytes; beyond it another way is taken.
-BROADCAST_BYTES = 32 << 20
-
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and let Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    importable(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,29 +53,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def arrow_rows(columns: list[str], make, schema: pa.Schema):
-    """A function for mapInArrow: ``make(lists of columns)`` gives lists in the order of ``schema``."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = make(*(batch.column(batch.schema.get_field_index(c)) for c in columns))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, schema.types, strict=True)], schema=schema)
-
-    return run
+    """An input table; one too small to fill all cores is dealt out to them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-_RANK = pa.schema([("_part", pa.int32()), ("_place", pa.int64())])
-
-
 def _number(batches):
     """Append the task's number and each row's place in it; the rows come sorted."""
     from pyspark import TaskContext
@@ -106,8 +85,3 @@ def range_ranked(narrow: DataFrame, keys: list[str], name: str) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + ", _part int, _place long"
     ordered = narrow.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     return materialise(ordered.mapInArrow(_number, schema), name)
-
-
-def crc_text(column) -> F.Column:
-    """crc32 of a value's text, as the contracts take it for folds."""
-    return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
