@@ -33,8 +33,8 @@ def term_weight(tf: Column, df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (K1 + 1)) / (tf + K1)
 
 
-def rank(post: DataFrame, query: str, visible: DataFrame | None = None, n_docs: int | None = None, key: str = "doc_id", boost: bool = True, phrase_terms: bool = False) -> DataFrame:
-    """``key``, score, groups, partial, lines of the documents that cover the query.
+def rank(post: DataFrame, query: str, visible: DataFrame | None = None, n_docs: int | None = None, key: str = "doc_id", boost: bool = True, phrase_terms: bool = False, with_lines: bool = True) -> DataFrame:
+    """``key``, score, groups, partial and (``with_lines``) lines of the documents that cover the query.
 
     ``visible`` restricts the documents before frequencies and their number are counted.  A group is
     covered by any of its terms; all groups have to be, or two if the query has two or more.  With
@@ -53,13 +53,17 @@ def rank(post: DataFrame, query: str, visible: DataFrame | None = None, n_docs:
         total = spark.range(1).select(F.lit(max(1, n_docs)).cast("long").alias("n"))
     else:
         total = post.agg(F.greatest(F.countDistinct(key), F.lit(1)).alias("n"))
-    # One row for each term of the query.
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # One row for each term of the query.  It asks for the columns that scores need, which are always there, so that
+    # both uses of the hits have one plan and their shuffle is done once.
+    there = F.col("tf") > 0
+    there = there & (F.size("fields") > 0) if boost else there
+    there = there & (F.size("lines") > 0) if with_lines else there
+    df = hits.groupBy("term").agg(F.count_if(there).alias("df"))
     stats = F.broadcast(df.join(F.broadcast(wanted), "term").join(F.broadcast(total), F.lit(True)))
     weight = term_weight(F.col("tf"), F.col("df"), F.col("n")) * (field_boost(F.col("fields")) if boost else F.lit(1.0))
-    scored = hits.join(stats, "term").groupBy(key).agg(
-        F.sum(weight).alias("score"), F.countDistinct("g").cast("int").alias("groups"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))), 1, 8).alias("lines")
-    )
+    covered_groups = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("g")))) if len(found) < 64 else F.size(F.collect_set("g"))
+    lines = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))), 1, 8).alias("lines")] if with_lines else []
+    scored = hits.join(stats, "term").groupBy(key).agg(F.sum(weight).alias("score"), covered_groups.cast("int").alias("groups"), *lines)
     required = len(found)
     covered = F.col("groups") >= (min(2, required) if required >= 2 else required)
     return scored.filter(covered).withColumn("partial", F.col("groups") < required)

@@ -110,39 +110,39 @@ _GROUPS = [["thand"], ["nder"], ["inea"]]
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS))
 def bm25_search(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _ranked(search.rank(postings(docs), QUERY, docs, boost=False))
+    return _ranked(search.rank(postings(docs), QUERY, docs, boost=False, with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS, limit=20))
 def bm25_top_k(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranked = search.rank(postings(docs), QUERY, docs, boost=False).withColumn("score", F.round("score", 6))
+    ranked = search.rank(postings(docs), QUERY, docs, boost=False, with_lines=False).withColumn("score", F.round("score", 6))
     return _ranked(search.best(ranked, 20))
 
 
 @_query(_rank_sql(_postings_sql(_FIELDS_SQL), [["src3"], ["thand"], ["de"]], boost=True))
 def bm25_field_boost(spark, sf_dir):
     docs = _fielded(spark, sf_dir)
-    return _ranked(search.rank(postings(docs), BOOSTED, docs.select("doc_id")))
+    return _ranked(search.rank(postings(docs), BOOSTED, docs.select("doc_id"), with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS, where="source IN ('src1', 'src2', 'src7')"))
 def bm25_scoped(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     visible = docs.filter(F.col("source").isin("src1", "src2", "src7")).select("doc_id")
-    return _ranked(search.rank(postings(docs.select("doc_id", "text")), QUERY, visible, boost=False))
+    return _ranked(search.rank(postings(docs.select("doc_id", "text")), QUERY, visible, boost=False, with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), [["that"], ["the"], ["zzzz"]]))
 def bm25_partial_coverage(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _ranked(search.rank(postings(docs), PARTIAL, docs, boost=False))
+    return _ranked(search.rank(postings(docs), PARTIAL, docs, boost=False, with_lines=False))
 
 
 @_query(f"SELECT r.* FROM ({_rank_sql(_postings_sql(_BODY_SQL), [['that']])}) r JOIN documents d USING (doc_id) WHERE contains(lower(regexp_replace(d.text, '[ \\t]+', ' ', 'g')), 'of the')")
 def phrase_search(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(search.rank(postings(docs), PHRASE, docs, boost=False), "doc_id")
+    found = docs.join(search.rank(postings(docs), PHRASE, docs, boost=False, with_lines=False), "doc_id")
     return _ranked(search.has_phrases(found, ["of the"]))
 
 
