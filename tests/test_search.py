@@ -77,3 +77,44 @@ def test_scan_needs_all_words(spark):
     df = spark.createDataFrame([(1, "Dir/Alpha.md", "beta  gamma &lt;tag&gt;"), (2, "x", "beta")], "doc_id int, rel_path string, text string")
     assert [(r.doc_id, r.path_score) for r in search.scan(df, "ALPHA <tag>").collect()] == [(1, 1)]
     assert search.scan(df, "beta", F.lit("beta")).filter("path_score = 1").count() == 2
+
+
+def test_semantic_hits_need_current_records(spark):
+    rule = "array<struct<text:string,start_line:int,end_line:int,excerpt:string>>"
+    rows = [
+        ("/a", "h", ["Topic One"], None, ["Why?"], [("must hold", 1, 1, "quoted words")]),
+        ("/b", "old", ["Topic One"], [], [], []),
+        ("/c", "h", [], ["alias"], [], []),
+    ]
+    records = spark.createDataFrame(rows, f"path string, source_hash string, topics array<string>, aliases array<string>, questions array<string>, rules {rule}")
+    docs = spark.createDataFrame([("/a", "h"), ("/b", "h"), ("/c", "h")], "path string, source_hash string")
+    find = lambda q: [(r.path, r.evidence) for r in search.semantic_hits(records, docs, q).collect()]
+    assert find("topic ONE") == [("/a", "Topic One")]
+    assert find('"quoted" HOLD') == [("/a", "must hold")]
+    assert find("alias") == [("/c", "alias")] and find("topic alias") == []
+
+
+def test_fresh_hits(spark):
+    import hashlib
+
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    files = spark.createDataFrame([("/a", bytearray(b"1")), ("/d", bytearray(b"2")), ("/s", bytearray(b"3"))], "path string, content binary")
+    rows = [
+        ("/a", "original", digest(b"1"), None, None),
+        ("/a", "original", digest(b"old"), None, None),
+        ("/gone", "original", digest(b"1"), None, None),
+        ("/d", "digest", digest(b"2"), "/s", digest(b"3")),
+        ("/d", "derived", digest(b"2"), "/s", digest(b"old")),
+        ("/d", "digest", digest(b"2"), "/gone", digest(b"3")),
+        ("/d", "digest", digest(b"2"), None, None),
+    ]
+    hits = spark.createDataFrame(rows, "path string, kind string, source_hash string, source_path string, source_file_hash string")
+    got = sorted((r.path, r.kind, r.source_path or "") for r in search.fresh(hits, files).collect())
+    assert got == [("/a", "original", ""), ("/d", "digest", ""), ("/d", "digest", "/s")]
+
+
+def test_paths_of_hits_are_united_and_cut(spark):
+    one = spark.createDataFrame([("b", 1.0)], "path string, score double")
+    two = spark.createDataFrame([("a", 1.0), ("c", 2.0)], "path string, score double")
+    assert [r.path for r in search.order_hits(search.unite([one, two]), 2).collect()] == ["c", "a"]
+    assert [search.clamp_limit(x) for x in (None, 0, 7, 99)] == [8, 1, 7, 20]
