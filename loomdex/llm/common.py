@@ -61,6 +61,10 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Columns that ranking adds and that its users take away again.
+OWN_COLUMNS = ("_row", "_part", "_place", "_at", "_arc")
+
+
 def _number(batches):
     """Append the task's number and each row's place in it; the rows come sorted."""
     from pyspark import TaskContext

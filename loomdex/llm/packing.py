@@ -232,7 +232,7 @@ def _placer(shared):
             part, place, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_place", "length"))
             rank = np.array([before[p, x] for p, x in zip(part.tolist(), length.tolist(), strict=True)], np.int64) + place
             sequence, offset = placement.place(length, rank)
-            keep = [c for c in batch.schema.names if c[0] != "_"]
+            keep = [c for c in batch.schema.names if c not in common.OWN_COLUMNS]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     return run

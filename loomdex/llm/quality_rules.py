@@ -35,7 +35,7 @@ WINDOW = 5
 SYMBOLS, MARKS = "#*$%&|<>", "!"
 _SPACE = " \t\n\x0b\f\r"
 #: rule: (slack in bins, whether a low value is bad as well).  Bins are thousandths; of the mean word length, 40ths of a character.
-RULES = {"symbols": (60, False), "marks": (60, False), "repeats": (200, False), "lines": (300, False), "length": (160, True)}
+RULES = {"symbols": (20, False), "marks": (30, False), "repeats": (200, False), "lines": (500, False), "length": (160, True)}
 
 
 def _let(value: Column, body) -> Column:

@@ -96,10 +96,10 @@ s AS (
   FROM w LEFT JOIN cov ON cov.k = w.k),
 r AS (
   SELECT k, lang, source, unnest([
-    {'rule': 0, 'bin': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'slack': 60},
-    {'rule': 1, 'bin': least(1000, 1000 * n_marks // greatest(word_chars, 1)), 'slack': 60},
+    {'rule': 0, 'bin': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'slack': 20},
+    {'rule': 1, 'bin': least(1000, 1000 * n_marks // greatest(word_chars, 1)), 'slack': 30},
     {'rule': 2, 'bin': least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), 'slack': 200},
-    {'rule': 3, 'bin': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'slack': 300},
+    {'rule': 3, 'bin': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'slack': 500},
     {'rule': 4, 'bin': least(1000, 40 * word_chars // greatest(n_words, 1)), 'slack': 160}], recursive := true)
   FROM s),
 own AS (SELECT lang, source, rule, slack, bin, count(*) AS n FROM r GROUP BY ALL),

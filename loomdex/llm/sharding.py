@@ -119,7 +119,7 @@ def _placer(shared):
             part, place, arc = (batch.column(c).to_numpy() for c in ("_part", "_place", "_arc"))
             rank = place + np.array([before[k] for k in zip(part.tolist(), arc.tolist(), strict=True)], np.int64)
             shard, slot = slices.place(arc, rank)
-            keep = [c for c in batch.schema.names if c[0] != "_"]
+            keep = [c for c in batch.schema.names if c not in common.OWN_COLUMNS]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shard), pa.array(slot)], names=[*keep, "shard", "slot"])
 
     return run

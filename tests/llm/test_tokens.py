@@ -111,3 +111,14 @@ def test_large_counts_pack_tightly():
     plan = packing.plan_packing(counts)
     assert sum(t for t, _ in plan) <= 1.01 * packing.lower_bound(counts) or sum(v for k, v in counts.items() if k > 1024) > packing.lower_bound(counts)
     assert len(plan) < 20_000
+
+
+def test_pack_keeps_other_columns(spark):
+    cut = spark.createDataFrame([(f"n{i}", 1 + i * 7 % 90, None) for i in range(50)], "name string, length long, _note string")
+    out = packing.pack(cut, 100)
+    assert out.columns == ["name", "length", "_note", "sequence_id", "offset"]
+    ends = Counter()
+    for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert ends[r.sequence_id] == r.offset
+        ends[r.sequence_id] += r.length
+    assert sum(ends.values()) == sum(1 + i * 7 % 90 for i in range(50)) and max(ends.values()) <= 100
