@@ -1,4 +1,4 @@
-"""Document pipeline: quality classifier, quality rules, SimHash near-dedup, best-fit packing.
+"""Document pipeline: quality classifier, quality rules, near-dedup by exact similarity, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir).  All but the last return the columns of ``docs``; the last
 returns the packed pieces.  The classifier learns from the labels in ``sf_dir``.  Duplicates are
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import common, packing, quality_classifier, quality_rules, simhash
+from loomdex.llm import common, near_copies, packing, quality_classifier, quality_rules
 from loomdex.llm.queries import WORDS, tokenizer_file
 
 
@@ -22,7 +22,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
