@@ -315,7 +315,7 @@ _SECRET_SQL = "CASE doc_id % 9 WHEN 0 THEN 'private-key' WHEN 1 THEN 'github-tok
 def secret_kinds(spark, sf_dir):
     samples = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 12, "sk-" + "Ab3" * 8, "xoxb-" + "12-ab" * 5, "AKIA" + "ABCD1234" * 2, "api_key = 'qwertyuiop'", "password: changeme", "secret=short", "passwd: ${ENV_VALUE}"]
     planted = F.element_at(F.array(*(F.lit(s) for s in samples)), (F.col("doc_id") % 9 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.secret_kind(F.concat(F.substring("text", 1, 20), F.lit("\n"), planted)).alias("kind"))
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.secret_kind(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), planted)).alias("kind"))
 
 
 @_query("""WITH p AS (SELECT conv_id, turn, role, text, CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN 'failed' ELSE 'completed' END AS status FROM conversations)
