@@ -433,3 +433,11 @@ def _first_line(text: str, error: str | None) -> str:
     if error is None:
         return "no object"
     return "so: " + json.dumps({"summary": text.split("\n")[0].strip(" ")[:60], "topics": [], "rules": []})
+
+
+@_query()
+def enrichment_chunks(spark, sf_dir):
+    """Every chunk of every document, long ones and those without n_chars too; ``enrichment`` is the part that its SQL states."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = chunks.with_text(chunks.chunks(docs), docs)
+    return chunks.enrich(parts, _first_line, concurrency=8).select("doc_id", "idx", "start_line", "end_line", "status", "output.summary")

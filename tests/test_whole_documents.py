@@ -20,3 +20,24 @@ def test_whole_texts_agree_with_the_sql_of_secret_kinds(spark, sf):
     kinds = ["private-key", "github-token", "api-token", "slack-token", "aws-key", "labeled-secret", None, None, None]
     rows = queries.secret_kinds(spark, f"/root/testdata/{sf}").collect()
     assert rows and all(r.kind == kinds[r.doc_id % 9] for r in rows)
+
+
+def brute_chunks(text):
+    """(idx, start_line, end_line, first line) by 12,000 characters; for texts without headings, fences or tables."""
+    lines, out, start, chars = text.split("\n"), [], 0, 0
+    for k, line in enumerate(lines):
+        if k > start and chars + len(line) + 1 > 12_000:
+            out.append((start, k))
+            start, chars = k, 0
+        chars += len(line) + 1
+    out.append((start, len(lines)))
+    return [(i, a + 1, b, lines[a].strip(" ")[:60]) for i, (a, b) in enumerate(out)]
+
+
+def test_every_chunk_of_every_document_is_enriched(spark, tmp_path):
+    texts = {1: "short\ntext", 2: "\n".join(f" line {k} " + "x" * (k % 300) for k in range(400)), 3: "head\n" + "y" * 13_000 + "\ntail", 4: "z" * 12_000, 5: "no size"}
+    rows = [(i, t, None if i == 5 else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.idx, r.start_line, r.end_line, r.summary) for r in queries.QUERIES["enrichment_chunks"](spark, str(tmp_path)).filter("status = 'completed'").collect())
+    want = [(i, *c) for i, t in texts.items() for c in brute_chunks(t)]
+    assert got == want and len([w for w in want if w[0] == 2]) > 3
