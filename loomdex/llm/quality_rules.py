@@ -2,23 +2,34 @@
 
 Each text gives whole-number statistics (``with_statistics``).  Rates of them, in thousandths, are
 counted into sketches: for each language, source and rule the number of documents in each of 1001
-equal bins.  Such sketches merge by adding counts, in any order, and a quantile of one is off by no
-more than a thousandth.  From the sketch of a group come its quartiles and from these its fences
+equal bins, over the documents that pass the base rules.  Such sketches merge by adding counts, in
+any order, and a quantile of one is off by no more than a thousandth.  From the sketch of a group
+come the quantiles of each rule (``RULES``: a high percentile, for some a low one too) and the
+median, and from these its fences
 
-    high = q3 + max(3 (q3 - q1), slack)      low = q1 - max(3 (q3 - q1), slack)
+    high = q_high + max(SPREAD (q_high - median), LEAST_REACH)
+    low  = q_low  - max(SPREAD (median - q_low),  LEAST_REACH)
 
-in place of fixed cutoffs; slack is the least distance, so that a group in which all
-texts are alike doesn't reject the next one.  A group of fewer than LEAST documents takes the
-merged sketch of its language, and a language of fewer than LEAST the merged sketch of all.
-The fences are joined to the documents, which are dropped outside them.
+in place of fixed cutoffs: a fence lies beyond the group's own tail by as much again as that tail is wide, so it
+moves and widens with the group.  LEAST_REACH is twice the sketch's resolution, the only constant distance;
+it decides where a group's tail is as narrow as that (a rate that is zero in nearly all its texts).
+A group of fewer than LEAST such documents takes the merged sketch of its language, and a language of
+fewer than LEAST the merged sketch of all.  The fences are joined to the documents, which are
+dropped outside them.
+
+Percentiles follow what a rule measures: symbols, marks and word lengths are alike in nearly all texts of a
+group, so their tail starts at 90 %; repeated words and lines are rare but usual in clean texts, so
+theirs starts at 98 %.
 
 Statistics are written once and read twice (sketches, verdicts); the sketches are aggregated on the
 map side, so a hot source costs a few thousand rows.  A five-word window is told apart
 by its 64-bit hash within its text.
 
 Defined results: a null text has no words and fails; so does any with fewer than 10; null languages
-and sources are groups like others; repeated rows count each; extra columns, also with the names of
-statistics, pass through ``keep_good`` untouched; an empty table gives no rows.
+and sources are groups like others; a value that ties with a fence is within it, and rows of equal bins count
+each; repeated rows count each; very long texts are scored whole, in memory of a few times their
+size; extra columns, also with the names of statistics, pass through ``keep_good`` untouched; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +45,10 @@ FEWEST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
 SYMBOLS, MARKS = "#*$%&|<>", "!"
 _SPACE = " \t\n\x0b\f\r"
-#: rule: (slack in bins, whether a low value is bad as well).  Bins are thousandths; of the mean word length, 40ths of a character.
-RULES = {"symbols": (20, False), "marks": (30, False), "repeats": (200, False), "lines": (500, False), "length": (160, True)}
-
+#: rule: (low percentile, high percentile).  Bins are thousandths; of the mean word length, 40ths of a character.
+RULES = {"symbols": (None, 90), "marks": (None, 90), "repeats": (None, 98), "lines": (None, 98), "length": (10, 90)}
+#: How far beyond a percentile its fence lies, as a multiple of the distance from the median, and in bins at least.
+SPREAD, LEAST_REACH = 2, 2
 
 def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once for a row and use it many times."""
@@ -105,45 +117,50 @@ def _quantile(bins: Column, n: Column, percent: int) -> Column:
     return F.aggregate(bins, start, step)["bin"]
 
 
+def base_failed(s: str = "stats") -> Column:
+    n, repeats = F.col(f"{s}.words.n"), F.col(f"{s}.words.repeats")
+    return (n < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n)
+
+
 def sketches(stats: DataFrame) -> DataFrame:
-    """lang, source, rule, bin, n of every document: the sketch of each group, mergeable by sums of n."""
+    """lang, source, rule, bin, n of the documents that pass the base rules: the sketch of each group, mergeable by sums of n."""
     rules = F.array(*(F.struct(F.lit(k).alias("rule"), b.alias("bin")) for k, b in enumerate(_bins())))
-    return stats.select("lang", "source", F.explode(rules).alias("r")).groupBy("lang", "source", "r.rule", "r.bin").agg(F.count("*").alias("n"))
+    passed = stats.filter(~base_failed()).select("lang", "source", F.explode(rules).alias("r"))
+    return passed.groupBy("lang", "source", "r.rule", "r.bin").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source, and for each rule low and high: a row per group, from its own sketch or a merged one."""
-    names = list(RULES)
+    """lang, source, and for each rule low (null: none) and high: a row per group, from its own sketch or a merged one."""
 
-    def quartiles(keys: list[str]) -> DataFrame:
+    def limits(keys: list[str]) -> DataFrame:
         merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n")) if keys != ["lang", "source"] else sketch
         per_rule = merged.groupBy(*keys, "rule").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n"))
-        per_rule = per_rule.select(*keys, "n", "rule", F.struct(_quantile(F.col("bins"), F.col("n"), 25).alias("q1"), _quantile(F.col("bins"), F.col("n"), 75).alias("q3")).alias("q"))
-        return per_rule.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rule") == k, F.col("q"))).alias(name) for k, name in enumerate(names)))
-
-    own, tongue, every = quartiles(["lang", "source"]).alias("o"), quartiles(["lang"]).alias("t"), quartiles([]).alias("e")
+        at = lambda percent: _quantile(F.col("bins"), F.col("n"), percent)
+        by_rule = lambda which: F.element_at(F.create_map(*(F.lit(x) for k, r in enumerate(RULES.values()) if r[which] for x in (k, r[which]))), F.col("rule"))
+        per_rule = per_rule.select(*keys, "n", "rule", at(by_rule(0)).alias("bottom"), at(F.lit(50)).alias("middle"), at(by_rule(1)).alias("top"))
+        low = F.col("bottom") - F.greatest(SPREAD * (F.col("middle") - F.col("bottom")), F.lit(LEAST_REACH))
+        high = F.col("top") + F.greatest(SPREAD * (F.col("top") - F.col("middle")), F.lit(LEAST_REACH))
+        per_rule = per_rule.select(*keys, "n", "rule", F.struct(F.when(F.col("bottom").isNotNull(), low).alias("low"), high.alias("high")).alias("fence"))
+        return per_rule.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(name) for k, name in enumerate(RULES)))
+
+    own, tongue, every = limits(["lang", "source"]).alias("o"), limits(["lang"]).alias("t"), limits([]).alias("e")
     both = own.join(tongue, F.col("o.lang").eqNullSafe(F.col("t.lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
     pick = lambda c: F.when(F.col("o.n") >= LEAST, F.col(f"o.{c}")).when(F.col("t.n") >= LEAST, F.col(f"t.{c}")).otherwise(F.col(f"e.{c}"))
-    out = [F.col("o.lang").alias("lang"), F.col("o.source").alias("source")]
-    for name, (slack, both_sides) in RULES.items():
-        q1, q3 = pick(name)["q1"], pick(name)["q3"]
-        reach = F.greatest(3 * (q3 - q1), F.lit(slack))
-        out.append((q1 - reach if both_sides else F.lit(-1)).cast("int").alias(f"{name}_low"))
-        out.append((q3 + reach).cast("int").alias(f"{name}_high"))
-    return both.select(*out)
+    sides = [pick(name)[side].cast("int").alias(f"{name}_{side}") for name in RULES for side in ("low", "high")]
+    return both.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *sides)
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """Add ``base_failed`` and ``kept`` to rows of lang, source and stats, which must come from a table."""
     limits = common.materialise(fences(sketches(stats)), "fences").alias("f")  # written, so its size is known when the join is planned
     joined = stats.alias("s").join(limits, F.col("s.lang").eqNullSafe(F.col("f.lang")) & F.col("s.source").eqNullSafe(F.col("f.source")), "left")
-    n, repeats = F.col("stats.words.n"), F.col("stats.words.repeats")
-    failed = (n < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n)
     within = F.lit(True)
-    for name, b in zip(RULES, _bins(), strict=True):
-        within = within & b.between(F.col(f"f.{name}_low"), F.col(f"f.{name}_high"))
+    for (name, (low, _)), b in zip(RULES.items(), _bins(), strict=True):
+        within = within & (b <= F.col(f"f.{name}_high"))
+        if low:
+            within = within & (b >= F.col(f"f.{name}_low"))
     own = [F.col(f"s.`{c}`") for c in stats.columns]
-    return joined.select(*own, failed.alias("base_failed"), (~failed & within).alias("kept"))
+    return joined.select(*own, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(within, F.lit(False))).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -94,43 +94,44 @@ s AS (
          CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov ON cov.k = w.k),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
 r AS (
-  SELECT k, lang, source, unnest([
-    {'rule': 0, 'bin': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'slack': 20},
-    {'rule': 1, 'bin': least(1000, 1000 * n_marks // greatest(word_chars, 1)), 'slack': 30},
-    {'rule': 2, 'bin': least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), 'slack': 200},
-    {'rule': 3, 'bin': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'slack': 500},
-    {'rule': 4, 'bin': least(1000, 40 * word_chars // greatest(n_words, 1)), 'slack': 160}], recursive := true)
-  FROM s),
-own AS (SELECT lang, source, rule, slack, bin, count(*) AS n FROM r GROUP BY ALL),
+  SELECT k, lang, source, base_failed, unnest([
+    {'rule': 0, 'bin': least(1000, 1000 * n_symbols // greatest(word_chars, 1)), 'bottom': NULL, 'top': 90},
+    {'rule': 1, 'bin': least(1000, 1000 * n_marks // greatest(word_chars, 1)), 'bottom': NULL, 'top': 90},
+    {'rule': 2, 'bin': least(1000, 1000 * n_repeat_words // greatest(n_words, 1)), 'bottom': NULL, 'top': 98},
+    {'rule': 3, 'bin': least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)), 'bottom': NULL, 'top': 98},
+    {'rule': 4, 'bin': least(1000, 40 * word_chars // greatest(n_words, 1)), 'bottom': 10, 'top': 90}], recursive := true)
+  FROM f),
+own AS (SELECT lang, source, rule, bottom, top, bin, count(*) AS n FROM r WHERE NOT base_failed GROUP BY ALL),
 levels AS (
-  SELECT 1 AS level, lang, source, rule, slack, bin, n FROM own
-  UNION ALL SELECT 2, lang, NULL, rule, slack, bin, sum(n) FROM own GROUP BY ALL
-  UNION ALL SELECT 3, NULL, NULL, rule, slack, bin, sum(n) FROM own GROUP BY ALL),
+  SELECT 1 AS level, lang, source, rule, bottom, top, bin, n FROM own
+  UNION ALL SELECT 2, lang, NULL, rule, bottom, top, bin, sum(n) FROM own GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, rule, bottom, top, bin, sum(n) FROM own GROUP BY ALL),
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bin) AS seen,
          sum(n) OVER (PARTITION BY level, lang, source, rule) AS n_all
   FROM levels),
 q AS (
-  SELECT level, lang, source, rule, slack, n_all, min(bin) FILTER (WHERE seen * 100 >= n_all * 25) AS q1,
-         min(bin) FILTER (WHERE seen * 100 >= n_all * 75) AS q3
+  SELECT level, lang, source, rule, n_all, min(bin) FILTER (WHERE seen * 100 >= n_all * bottom) AS q_low,
+         min(bin) FILTER (WHERE seen * 100 >= n_all * 50) AS middle, min(bin) FILTER (WHERE seen * 100 >= n_all * top) AS q_high
   FROM cum GROUP BY ALL),
+fence AS (
+  SELECT level, lang, source, rule, n_all, q_low - greatest(2 * (middle - q_low), 2) AS low,
+         q_high + greatest(2 * (q_high - middle), 2) AS high
+  FROM q),
 pick AS (
-  SELECT o.lang, o.source, o.rule, o.slack,
-         CASE WHEN o.n_all >= 50 THEN o.q1 WHEN t.n_all >= 50 THEN t.q1 ELSE e.q1 END AS q1,
-         CASE WHEN o.n_all >= 50 THEN o.q3 WHEN t.n_all >= 50 THEN t.q3 ELSE e.q3 END AS q3
-  FROM (FROM q WHERE level = 1) o
-  LEFT JOIN (FROM q WHERE level = 2) t ON t.lang IS NOT DISTINCT FROM o.lang AND t.rule = o.rule
-  LEFT JOIN (FROM q WHERE level = 3) e ON e.rule = o.rule),
+  SELECT o.lang, o.source, o.rule, CASE WHEN o.n_all >= 50 THEN o.low WHEN t.n_all >= 50 THEN t.low ELSE e.low END AS low,
+         CASE WHEN o.n_all >= 50 THEN o.high WHEN t.n_all >= 50 THEN t.high ELSE e.high END AS high
+  FROM (FROM fence WHERE level = 1) o
+  LEFT JOIN (FROM fence WHERE level = 2) t ON t.lang IS NOT DISTINCT FROM o.lang AND t.rule = o.rule
+  LEFT JOIN (FROM fence WHERE level = 3) e ON e.rule = o.rule),
 v AS (
-  SELECT r.k, bool_and(bin <= q3 + greatest(3 * (q3 - q1), p.slack)
-                       AND (r.rule < 4 OR bin >= q1 - greatest(3 * (q3 - q1), p.slack))) AS good
+  SELECT r.k, bool_and(bin <= p.high AND (r.rule < 4 OR bin >= p.low)) AS good
   FROM r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.rule = r.rule
   GROUP BY r.k)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND good AS kept
-FROM s JOIN v ON v.k = s.k
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, false) AS kept
+FROM f LEFT JOIN v ON v.k = f.k
 """
 
 _TOP_K_SQL = """
