@@ -7,17 +7,24 @@ below.  Each pair passes a coarse bound, then a finer one, and its exact score i
 both reach the query's threshold, its k-th best score so far; first thresholds come from a bounded
 set of rows, and only what can be dropped depends on them, never the result.
 
-Scores are of whole numbers, so float64 products are exact while they stay below 2^53; larger
-components take Python's integers.  Queries are broadcast in blocks of at most BLOCK_BYTES, a pass
-over the candidates for each; every task returns at most k rows for a query.
+Scores are of whole numbers, so a float64 product is exact while the product of two norms stays below
+2^52; the other pairs are never dropped by a bound and are computed with Python's integers.  A score outside
++-(2^63 - 1) counts as that end of the range, and ties with the others there.
+
+Queries are written to a table once, dealt into blocks of about BLOCK_BYTES.  One block at a time comes to the driver
+and is broadcast; a pass over the candidates answers it, its best rows are written, and the broadcast is
+destroyed before the next one.  Every task returns at most k rows for a query.
 
 Defined results: vectors that are null, hold null or non-finite components or have a null id take no
-part; only vectors of equal length are compared; rows with equal id and score count once; an id is
-never its own candidate; extra columns are ignored; an empty table gives no rows.
+part; only vectors of equal length are compared, very long ones like others; rows with equal id and score count
+once, equal scores go to the smaller id; an id is never its own candidate; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,17 +42,28 @@ PAIRS = 1 << 20
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+#: Ends of the range of scores, and norms whose product makes float64 scores exact.
+MOST, EXACT = 2**63 - 1, 2.0**52
+
+
 def scaled(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x): float64 where products of such numbers are exact, else Python integers."""
-    out = np.floor(values.astype(np.float64) * scale)
-    if out.size and np.abs(out).max() ** 2 * out.shape[-1] >= 2**53:
-        return np.array([[int(x) for x in row] for row in out], object).reshape(out.shape)
-    return out
+    """floor(scale * x) as float64: whole numbers, infinite where the product overflows."""
+    with np.errstate(over="ignore"):
+        return np.floor(values.astype(np.float64) * scale)
+
+
+def whole_numbers(row: np.ndarray, scale: int = SCALE) -> list[int]:
+    """floor(scale * x) as Python's integers, of finite numbers."""
+    return [math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale for x in row.tolist()]
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt((x**2).sum(axis=1))
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of segments, weighted so that a product of two rows is the bound."""
-    x = x.astype(np.float64)
     d = x.shape[1]
     if not d:
         return np.zeros((len(x), 1))
@@ -57,54 +75,70 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Search:
-    """The k best rows for each query of one length, over batches of candidates."""
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, threshold: np.ndarray | None = None):
-        self.ids, self.queries, self.k, self.d = ids, queries, k, queries.shape[1]
-        self.features = [segment_features(queries, s) for s in LEVELS]
-        self.norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        self.threshold = np.full(len(ids), -np.inf) if threshold is None else threshold.copy()
+    """The k best rows for each query of one length, over batches of candidates.  Vectors come as they are, before scaling."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int = SCALE, threshold: np.ndarray | None = None):
+        self.ids, self.vectors, self.k, self.scale, self.d = ids, vectors, k, scale, vectors.shape[1]
+        self.queries = scaled(vectors, scale)
+        self.norm = norms(self.queries)
+        self.features = [self._features(self.queries, self.norm, s) for s in LEVELS]
+        self.threshold = np.full(len(ids), -MOST - 1, np.int64) if threshold is None else threshold.copy()
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
         self.bounded = self.exact = 0
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    @staticmethod
+    def _features(x: np.ndarray, norm: np.ndarray, segments: int) -> np.ndarray:
+        """Features of rows that a bound can be taken of; the others have zeros."""
+        return segment_features(np.where((norm < EXACT)[:, None], x, 0.0), segments)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         step = max(1, PAIRS // max(1, len(self.ids)))
         for a in range(0, len(ids), step):
-            self._add(ids[a : a + step], x[a : a + step])
+            self._add(ids[a : a + step], vectors[a : a + step])
 
-    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         shape = len(self.ids), len(ids)
-        norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+        x = scaled(vectors, self.scale)
+        norm = norms(x)
+        with np.errstate(over="ignore", invalid="ignore"):
+            both = np.outer(self.norm, norm)
+        plain = both < EXACT  # false for what is infinite or not a number
         # What rounding can take from a bound; scores are whole numbers.
-        need = lambda q, c: self.threshold[q] - 1e-6 * (self.norm[q] * norm[c] + 1)
-        coarse, fine = (segment_features(x, s) for s in LEVELS)
-        alive = self.features[0] @ coarse.T >= self.threshold[:, None] - 1e-6 * (np.outer(self.norm, norm) + 1)
-        q, c = np.nonzero(alive)
-        q, c = self._keep(q, c, self._products(self.features[1], fine, q, c, shape) >= need(q, c))
-        score = self._products(self.queries, x, q, c, shape)
+        need = self.threshold.astype(np.float64)[:, None] - 1e-6 * (np.where(plain, both, 0.0) + 1)
+        coarse, fine = (self._features(x, norm, s) for s in LEVELS)
+        q, c = np.nonzero(plain & (self.features[0] @ coarse.T >= need))
+        ok = self._products(self.features[1], fine, q, c, shape) >= need[q, c]
+        q, c = q[ok], c[ok]
+        score = self._products(np.where(np.isfinite(self.queries), self.queries, 0.0), np.where(np.isfinite(x), x, 0.0), q, c, shape).astype(np.int64)
         self.bounded += shape[0] * shape[1]
         self.exact += len(q)
+        if not plain.all():
+            more_q, more_c = np.nonzero(~plain)
+            q, c = np.concatenate([q, more_q]), np.concatenate([c, more_c])
+            score = np.concatenate([score, self._long_products(vectors, more_q, more_c)])
         ok = (score >= self.threshold[q]) & (self.ids[q] != ids[c])
         if ok.any():
-            self.found.append((q[ok], ids[c[ok]], score[ok].astype(np.int64)))
+            self.found.append((q[ok], ids[c[ok]], score[ok]))
             self.pending += int(ok.sum())
-            if self.pending > 4 * self.k * len(self.ids) or not np.isfinite(self.threshold).all():
+            if self.pending > 4 * self.k * len(self.ids) or not (self.threshold >= -MOST).all():
                 self.best()
 
-    @staticmethod
-    def _keep(q, c, ok):
-        return q[ok], c[ok]
-
     @staticmethod
     def _products(a: np.ndarray, b: np.ndarray, q: np.ndarray, c: np.ndarray, shape) -> np.ndarray:
         """Products of the pairs (q, c): all at once where most are wanted."""
-        if a.dtype == object or b.dtype == object:
-            return np.array([sum(int(u) * int(v) for u, v in zip(a[i], b[j], strict=True)) for i, j in zip(q, c, strict=True)], object)
         if len(q) > shape[0] * shape[1] // 20:
-            return (a @ b.T)[q, c]
+            with np.errstate(over="ignore", invalid="ignore"):
+                return (a @ b.T)[q, c]
         return np.einsum("ij,ij->i", a[q], b[c])
 
+    def _long_products(self, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores of pairs too large for float64, brought into the range of scores."""
+        left = {i: whole_numbers(self.vectors[i], self.scale) for i in set(q.tolist())}
+        right = {j: whole_numbers(vectors[j], self.scale) for j in set(c.tolist())}
+        products = (sum(map(int.__mul__, left[i], right[j])) for i, j in zip(q.tolist(), c.tolist(), strict=True))
+        return np.array([max(-MOST, min(MOST, s)) for s in products], np.int64)
+
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query's place, id and score of the k best so far; raises the thresholds."""
         if not self.found:
@@ -136,7 +170,7 @@ def _matrices(ids, vectors):
 
 def _search(shared, k: int, scale: int):
     def run(batches):
-        searches = {d: Search(ids, queries, k, threshold) for d, (ids, queries, threshold) in shared.value.items()}
+        searches = {d: Search(ids, queries, k, scale, threshold) for d, (ids, queries, threshold) in shared.value.items()}
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), batch.column(1)
             length = np.diff(vectors.offsets.to_numpy())
@@ -147,7 +181,7 @@ def _search(shared, k: int, scale: int):
                 parts = _matrices(ids.tolist(), vectors.to_pylist())
             for d, (i, x) in parts.items():
                 if d in searches:
-                    searches[d].add(i, scaled(x, scale))
+                    searches[d].add(i, x)
         for s in searches.values():
             q, i, score = s.best()
             yield pa.RecordBatch.from_arrays([pa.array(s.ids[q]), pa.array(i), pa.array(score)], schema=_FOUND)
@@ -165,22 +199,29 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, vec_id: str = "
     """query_id, rank, vec_id, score: each query's k highest scores, ties to the smaller vec_id."""
     spark = candidates.sparkSession
     common.prepare(spark)
-    wanted, rows = valid(queries, vec_id, vector).distinct(), valid(candidates, vec_id, vector)
+    rows = valid(candidates, vec_id, vector)
+    wanted = common.materialise(valid(queries, vec_id, vector).distinct(), "queries")
     n, d = wanted.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
     blocks = max(1, -(-n * (8 * d + 8) // block_bytes))
+    if blocks > 1:  # sorted by block, so that a block's rows are read alone
+        dealt = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)))
+        wanted = common.materialise(dealt.repartitionByRange(common.partitions_for(dealt), "block", "vec_id").sortWithinPartitions("block"), "query-blocks")
     seeds = _matrices(*map(list, zip(*[(r.vec_id, r.x) for r in rows.limit(SEED_ROWS).collect()]))) if n else {}
-    found = None
+    parts = []
     for b in range(blocks):
-        block = [(r.vec_id, r.x) for r in wanted.filter(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)) == b).collect()]
+        own = wanted.filter(F.col("block") == b) if blocks > 1 else wanted
+        block = [(r.vec_id, r.x) for r in own.collect()]
         state = {}
         for dim, (ids, x) in _matrices(*map(list, zip(*block))).items() if block else ():
-            first = Search(ids, scaled(x, scale), k)
+            first = Search(ids, x, k, scale)
             if dim in seeds:
-                first.add(seeds[dim][0], scaled(seeds[dim][1], scale))
+                first.add(*seeds[dim])
                 first.best()
-            state[dim] = ids, first.queries, first.threshold
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(state), k, scale), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+            state[dim] = ids, x, first.threshold
+        shared = spark.sparkContext.broadcast(state)
+        parts.append(common.materialise(rows.mapInArrow(_search(shared, k, scale), "query_id long, vec_id long, score long"), "found"))
+        shared.destroy()
+    found = parts[0] if blocks == 1 else spark.read.schema(parts[0].schema).parquet(*[p for part in parts for p in part.inputFiles()])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
