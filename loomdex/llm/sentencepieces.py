@@ -11,13 +11,14 @@ model type and the normaliser's settings.  From them a tokenizers backend is bui
 
 No piece of a model that keeps words apart has a marker after another character, so texts can be cut in
 front of each run of markers without changing an id (``separable``; models for which that doesn't
-hold are encoded whole).  The cuts are encoded once per worker, in multithreaded batches, and what
-comes out of the backend is verified against the SentencePiece library, cut by cut; a cut's ids are decoded by the backend once as well.  Where the two
-differ (equal scores of overlapping pairs, which the library takes from the left), the library's ids
-are used and the document is marked.
-
-Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded
-each; extra columns are ignored; an empty table gives no rows.
+hold are encoded whole).  The cuts are encoded once per worker, in multithreaded batches, and the backend's ids
+are the result.  Parity is verified cut by cut: the SentencePiece library encodes each fresh cut too, and a cut on
+which the two differ (equal scores of overlapping pairs, which the library takes from the left) is set right,
+counted (``Codec.fallbacks``) and its documents are marked.  A cut's ids are decoded by the backend once as well.
+
+Defined results: null and empty texts have no ids and decode to the empty text; very long texts are encoded
+whole, in memory of a few times their size (a cut of more than LONGEST characters isn't kept); repeated
+rows are encoded each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -152,8 +153,11 @@ class Codec:
         self.whole, self.bare = backend(self.spec), backend(self.spec, bare=True)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if separable(self.spec) else None
-        self.young: dict[str, tuple[bytes, str, bool]] = {}
-        self.old: dict[str, tuple[bytes, str, bool]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Cuts that don't decode to themselves or on which the backend differs: what they decode to, and whether it agrees.
+        self.odd: dict[str, tuple[str, bool]] = {}
+        self.fallbacks = 0
 
     @classmethod
     def of_worker(cls, path: str) -> Codec:
@@ -169,43 +173,63 @@ class Codec:
             return self.whole.normalizer.normalize_str(text)
         return (MARK if self.spec.prefix else "") + text.replace(" ", MARK)
 
-    def cuts(self, text: str | None) -> list[str]:
-        normal = self.normalised(text)
+    def _cut(self, normal: str) -> list[str]:
         return self.cut.findall(normal) if self.cut else [normal] if normal else []
 
-    def _verified(self, cuts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """Ids, decoded text and whether backend and library agree."""
+    def cuts(self, text: str | None) -> list[str]:
+        return self._cut(self.normalised(text))
+
+    def _backend_ids(self, cuts: list[str]) -> list[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        found = [e.ids for e in self.bare.encode_batch_fast(cuts, add_special_tokens=False)]
+        return [e.ids for e in self.bare.encode_batch_fast(cuts, add_special_tokens=False)]
+
+    def _library_ids(self, cuts: list[str], found: list[list[int]]) -> list[list[int]]:
+        """The library's ids where it can be asked for a cut alone, else those that were found."""
         plain = [(c[1:] if self.spec.prefix and c[0] == MARK else c).replace(MARK, " ") for c in cuts]
         right = self.library.encode(plain, num_threads=1)
         if not self.spec.prefix or self.spec.squeeze:
             right = [r if p == c.replace(MARK, " ").strip(" ") else f for r, f, p, c in zip(right, found, plain, cuts, strict=True)]
         # A lone marker is the library's empty text, which it doesn't encode.
-        right = [r if p else f for r, f, p in zip(right, found, plain, strict=True)]
-        decoded = self.bare.decode_batch(right, skip_special_tokens=False)
-        return [(struct.pack(f"<{len(r)}I", *r), d, r == f) for r, f, d in zip(right, found, decoded, strict=True)]
+        return [r if p else f for r, f, p in zip(right, found, plain, strict=True)]
+
+    def _add(self, cuts: list[str]) -> None:
+        """Encode cuts by the backend, verify them and keep what they give."""
+        found = self._backend_ids(cuts)
+        for i, (own, right) in enumerate(zip(found, self._library_ids(cuts, found), strict=True)):
+            if own != right:
+                self.fallbacks += 1
+                self.odd[cuts[i]] = "", False
+                found[i] = right
+        for cut, own, decoded in zip(cuts, found, self.bare.decode_batch(found, skip_special_tokens=False), strict=True):
+            self.young[cut] = struct.pack(f"<{len(own)}I", *own)
+            if cut in self.odd or decoded != cut.replace(MARK, " "):
+                self.odd[cut] = decoded, cut not in self.odd
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str, bool]]:
         """For each text its ids as little-endian unsigned 32-bit numbers, what they decode to, and whether the backend gave them all."""
-        split = [self.cuts(t) for t in texts]
+        normal = [self.normalised(t) for t in texts]
+        split = [self._cut(x) for x in normal]
         missing = set().union(*split) - self.young.keys()
         if missing:
             again = missing & self.old.keys()
             self.young.update((c, self.old[c]) for c in again)
-            fresh = list(missing - again)
-            self.young.update(zip(fresh, self._verified(fresh), strict=True))
-        look = self.young.__getitem__
+            self._add(list(missing - again))
+        look, odd = self.young.__getitem__, self.odd
         out = []
-        for cuts in split:
-            found = list(map(look, cuts))
-            decoded = "".join([f[1] for f in found])
-            out.append((b"".join([f[0] for f in found]), decoded[self.spec.prefix :], all([f[2] for f in found])))
+        for text, cuts in zip(normal, split, strict=True):
+            if odd.keys().isdisjoint(cuts):
+                decoded, agree = text.replace(MARK, " "), True
+            else:
+                decoded = "".join([odd[c][0] if c in odd else c.replace(MARK, " ") for c in cuts])
+                agree = all(odd[c][1] for c in cuts if c in odd)
+            out.append((b"".join(map(look, cuts)), decoded[self.spec.prefix :], agree))
         for c in missing:
             if len(c) > LONGEST:
                 del self.young[c]
+                self.odd.pop(c, None)
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
+            self.odd = {c: x for c, x in self.odd.items() if c in self.old}
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
