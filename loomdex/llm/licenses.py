@@ -2,15 +2,19 @@
 
 Templates (``license_texts``) are compiled into one automaton over words: a mandatory word is an edge,
 an optional region can be stepped over, a replaceable region is a bounded run of any words or a
-choice.  A text is accepted at a place where every mandatory word stands exactly and in order.  The
-automaton runs from each word that can begin a template; sets of states and what a word makes of them
-are remembered, so it becomes deterministic as it is used.  Base phrases are searched beside it.
+choice.  A text is accepted at a place where every mandatory word stands exactly and in order; a template holds
+the whole wording of a licence or of the notice it prescribes.  The automaton runs from each word that can begin a
+template; sets of states and what a word makes of them are remembered, so it becomes deterministic as it is used.
+
+One-line mentions ("released under the ... license") are markup as well, but a weaker kind: their labels begin with
+``mention:``, and one that follows a negation within NEAR words is none.  Base phrases are searched beside both.
 
 A map over whole texts: nothing is shuffled or gathered.
 
-Defined results: a null text has no words; without any place the word numbers are null, labels are
-empty strings and the score is 0 (0.5: a base phrase, 1: an accepted template); repeated rows are
-scanned each; extra columns are ignored; an empty table gives no rows.
+Defined results: the score is 1 for an accepted template, 0.75 for a mention, 0.5 for a base phrase, else 0; a null
+text has no words; without any place the word numbers are null and labels are empty strings; of matches of one label
+that begin at one word the longest counts, and ties between labels all do; very long texts are scanned whole; repeated
+rows are scanned each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .license_texts import TEMPLATES
+from .license_texts import MENTIONS, TEMPLATES
 
 #: Fixed values of the base scan: phrase and label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Words that take a mention back, and how many words before it are looked at.
+NEGATIONS, NEAR = frozenset((b"not", b"never", b"no", b"neither", b"nor", b"without", b"cannot", b"isn", b"wasn", b"aren", b"unless")), 4
 #: Remembered steps of the automaton; when they are full they start anew.
 STEPS = 100_000
 
@@ -151,27 +157,34 @@ _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("las
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", _SPAN)])
 
 
-def _scanner(templates: dict[str, list[str]], phrases: dict[str, str]):
+def found_licenses(words: list[bytes], full: Automaton, mentions: Automaton) -> list[tuple[str, int, int]]:
+    """(label, first word, last word) of templates and mentions."""
+    said = [(f"mention:{label}", a, b) for label, a, b in mentions.matches(words) if NEGATIONS.isdisjoint(words[max(0, a - NEAR) : a])]
+    return sorted(full.matches(words) + said, key=lambda s: (s[1], s[2], s[0]))
+
+
+def _scanner(templates: dict[str, list[str]], phrases: dict[str, str], mentions: dict[str, list[str]]):
     def run(batches):
-        automaton = Automaton(templates)
+        full, weak = Automaton(templates), Automaton(mentions)
         heads = [p.encode().split()[0] for p in phrases]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 places = base_places(words, phrases) if any(map(words.__contains__, heads)) else []
-                spans = automaton.matches(words)
+                spans = found_licenses(words, full, weak)
+                score = 0.0 if not spans else 1.0 if any(":" not in s[0] for s in spans) else 0.75
                 base = {label for label, _ in places}
                 at = [w for _, w in places]
-                rows.append((doc_id, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s[0] for s in spans})), 1.0 if spans else 0.5 if at else 0.0, [dict(zip(("label", "first", "last"), s)) for s in spans]))
+                rows.append((doc_id, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s[0] for s in spans})), max(score, 0.5 if at else 0.0), [dict(zip(("label", "first", "last"), s)) for s in spans]))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     return run
 
 
-def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """One row per document with counts, labels, score and the spans of accepted templates."""
+def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, mentions: dict[str, list[str]] = MENTIONS) -> DataFrame:
+    """One row per document with counts, labels, score and the spans of accepted templates and mentions."""
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long>>"
-    return rows.mapInArrow(_scanner(templates, phrases), schema)
+    return rows.mapInArrow(_scanner(templates, phrases, mentions), schema)
