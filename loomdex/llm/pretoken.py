@@ -54,7 +54,7 @@ def pretokens(text: str | None) -> list[str]:
 
 
 class PretokenEncoder:
-    """Looks pre-tokens up in a first tier (shared, read only), then in this worker's own cache.
+    """Looks pre-tokens up in a first tier (shared, read only: ``lookup`` gives what it has), then in this worker's own cache.
 
     ``value(ids)`` is what is kept of a pre-token, and ``kind`` names it: the worker's cache is kept
     from task to task by tokenizer and kind.  The cache has two generations of at most CACHE entries
@@ -65,7 +65,7 @@ class PretokenEncoder:
     _tokenizers: dict[str, tuple[Tokenizer, Tokenizer]] = {}
     _caches: dict[tuple[str, str], list[dict]] = {}
 
-    def __init__(self, path: str, kind: str, value, first: dict | None = None):
+    def __init__(self, path: str, kind: str, value, first=None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a task on each core already
         if path not in self._tokenizers:
             whole = Tokenizer.from_file(path)
@@ -84,9 +84,10 @@ class PretokenEncoder:
         split = [pretokens(x) for x in texts]
         plain = [not x or _plain(x) for x in texts]
         words = set().union(*split)
-        if self.first:
-            words.difference_update(self.first)
+        known = self.first.lookup(list(words)) if self.first else {}
+        words.difference_update(known)
         young, old = self.generations
+        missed = words
         words = words - young.keys()
         if words:
             again = words & old.keys()
@@ -99,14 +100,10 @@ class PretokenEncoder:
                 young.update(zip(rest, self.encode(rest), strict=True))
             fresh = list(fresh)
             young.update(zip(fresh, self.encode(fresh, bare=True), strict=True))
-        if self.first:
-            look, out = self.first.get, []
-            for x in split:
-                row = list(map(look, x))
-                out.append([young[w] if v is None else v for w, v in zip(x, row, strict=True)] if None in row else row)
-        else:
-            look = young.__getitem__
-            out = [list(map(look, x)) for x in split]
+        if known:
+            known.update((w, young[w]) for w in missed)
+        look = (known or young).__getitem__
+        out = [list(map(look, x)) for x in split]
         for x in words:
             if len(x) > LONGEST:
                 del young[x]
