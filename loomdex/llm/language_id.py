@@ -4,15 +4,18 @@ Features are character 1- to 3-grams of the whole text in lower case (what isn't
 space), hashed into 2^BITS columns, with log counts, inverse document frequencies and unit length.
 Weights are learnt by follow-the-regularised-leader (per-coordinate rates) with elastic-net
 penalties, the L1 part of which keeps most of them at exactly zero; a temperature, fitted on texts
-that the weights haven't seen, calibrates the probabilities.
+that the weights haven't seen, calibrates the probabilities.  Only weights that aren't zero are kept, row by row
+(``Sparse``), and broadcast: at most 2^BITS x LANGUAGES of 6 bytes, in practice about one in a hundred of them.
 
-Learning takes a bounded sample outside the held-out fold: of each language at most PER_LANGUAGE
-documents, TOTAL in all, those with the smallest hash of their id.  Their n-gram counts come
-to the driver, as many bytes as the sample has distinct n-grams.  Predictions are a map.
+Learning takes a bounded sample outside the held-out fold: the LANGUAGES with most documents, of each at most
+PER_LANGUAGE of them, TOTAL in all, those with the smallest hash of their id.  Their n-gram counts come to the
+driver, as many bytes as the sample has distinct n-grams; the sums that are learnt hold 2^BITS x LANGUAGES
+numbers at most (two arrays of 34 MB).  Predictions are a map.
 
 Defined results: ``und`` with a score of 0 for null texts, texts without any letter, and where there is
-no labelled document to learn from; repeated rows are predicted each; null languages and ids aren't
-learnt from; extra columns are ignored; an empty table gives no rows.
+no labelled document to learn from; equal probabilities give the language that comes first in the alphabet; very long
+texts are read whole, in memory of about forty times their characters; repeated rows are predicted each; null
+languages and ids aren't learnt from; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from . import common
 from .sampling import fold, sampled_texts, thinned
 
 FOLDS, HELD_OUT = 4, 2
-PER_LANGUAGE, TOTAL = 600, 6_000
+#: Bounds of what is learnt from: documents of a language, documents, languages.
+PER_LANGUAGE, TOTAL, LANGUAGES = 600, 6_000, 128
 BITS = 15
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 UNKNOWN = "und"
@@ -56,8 +60,30 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return columns, counts[columns]
 
 
+class Sparse:
+    """A matrix without its zeros: of the rows that have others (``rows``), runs of columns and values."""
+
+    def __init__(self, dense: np.ndarray):
+        row, column = np.nonzero(dense)
+        self.width = dense.shape[1]
+        self.rows, starts = np.unique(row, return_index=True)
+        self.begin = np.append(starts, len(row))
+        self.column, self.value = column.astype(np.int16), dense[row, column].astype(np.float32)
+
+    def times(self, columns: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The product of a sparse vector with the matrix; ``columns`` are the vector's places, in order."""
+        if not len(self.rows):
+            return np.zeros(self.width)
+        at = np.minimum(np.searchsorted(self.rows, columns), len(self.rows) - 1)
+        hit = self.rows[at] == columns
+        at = at[hit]
+        size = self.begin[at + 1] - self.begin[at]
+        each = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.column[each], weights=self.value[each] * np.repeat(values[hit], size), minlength=self.width)
+
+
 class Model:
-    def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, langs: list[str], idf: np.ndarray, weights: Sparse, bias: np.ndarray, temperature: float):
         self.langs, self.idf, self.weights, self.bias, self.temperature = langs, idf, weights, bias, temperature
 
     def values(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -65,7 +91,7 @@ class Model:
         return v / max(1e-12, float(np.sqrt((v * v).sum())))
 
     def logits(self, columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.values(columns, counts) @ self.weights[columns] + self.bias
+        return self.weights.times(columns, self.values(columns, counts)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text or not any(map(str.isalpha, text)):
@@ -102,13 +128,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     langs = sorted({r[2] for r in rows})
     size = 1 << BITS
     if not langs:
-        return Model([], np.ones(size), np.zeros((size, 0)), np.zeros(0), 1.0)
+        return Model([], np.ones(size), Sparse(np.zeros((size, 0))), np.zeros(0), 1.0)
     held = [r for i, r in enumerate(rows) if i % 5 == 4]
     known = [r for i, r in enumerate(rows) if i % 5 != 4]
     df = np.zeros(size)
     for columns, _, _ in known:
         df[columns] += 1
-    model = Model(langs, np.log((1 + len(known)) / (1 + df)) + 1, np.zeros((size, len(langs))), np.zeros(len(langs)), 1.0)
+    model = Model(langs, np.log((1 + len(known)) / (1 + df)) + 1, Sparse(np.zeros((size, len(langs)))), np.zeros(len(langs)), 1.0)
     w, b = Leader((size, len(langs))), Leader((len(langs),))
     rng = np.random.default_rng(0)
     prepared = [(c, model.values(c, n), langs.index(y)) for c, n, y in known]
@@ -120,11 +146,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
             g[y] -= 1
             w.update(columns, v[:, None] * g, own)
             b.update(slice(None), g, bias)
-    model.weights, model.bias = w.weights(), b.weights()
+    model.weights, model.bias = Sparse(w.weights()), b.weights()
     logits = [(model.logits(c, n), langs.index(y)) for c, n, y in held or known]
     loss = lambda t: -sum(np.log(max(1e-12, softmax(x / t)[y])) for x, y in logits)
     model.temperature = float(min(np.geomspace(0.05, 10, 60), key=loss))
-    model.weights = model.weights.astype(np.float32)
     return model
 
 
@@ -134,10 +159,10 @@ def _ngrams(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"columns": [c.astype(np.uint16).tobytes() for c, _ in found], "counts": [n.astype(np.uint32).tobytes() for _, n in found]})
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = FOLDS, held_out: int = HELD_OUT, per_language: int = PER_LANGUAGE, total: int = TOTAL, languages: int = LANGUAGES) -> Model:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter((fold("doc_id", folds) != held_out) & F.col("lang").isNotNull())
-    rows = thinned(rows, per_language, ["lang"], total).withColumn("h", F.xxhash64("doc_id"))
+    rows = thinned(rows, per_language, ["lang"], languages).withColumn("h", F.xxhash64("doc_id"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     sample = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).orderBy("k", "h", "lang").limit(total).select("doc_id", "lang").distinct()
     known = sampled_texts(docs, sample, "lang", text, doc_id).select("doc_id", "lang", _ngrams("text").alias("x"))

@@ -10,8 +10,9 @@ The model learns on the driver from at most SAMPLE labelled rows outside the hel
 with the smallest hash of their id; only their statistics come to the driver.  Scores are a map over
 the documents, without any shuffle.
 
-Defined results: null texts score as empty ones; repeated rows score alike; labels other than 0 and 1
-and null ids aren't learnt from; without any label all scores are 0.5; extra columns, whatever
+Defined results: null texts score as empty ones; equal statistics score alike, so repeated rows do; of cuts with equal
+gains the first feature's lowest is taken; very long texts are read whole, in memory of a few times their size;
+labels other than 0 and 1 and null ids aren't learnt from; without any label all scores are 0.5; extra columns, whatever
 their names, pass through ``keep_good`` untouched; an empty table gives no rows.
 """
 

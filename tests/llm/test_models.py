@@ -32,6 +32,45 @@ def test_traversal_is_the_walk_of_each_tree():
         assert np.isclose(total, forest.raw(x[i : i + 1])[0])
 
 
+def brute_cut(x, g, h, edges):
+    """The best (gain, feature, cut) over all features and all cuts, each sum taken anew."""
+    score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + qc.L2)
+    best = (0.0, None, None)
+    for j in range(x.shape[1]):
+        for cut in edges[j]:
+            left, right = x[:, j] <= cut, x[:, j] > cut
+            if min(left.sum(), right.sum()) >= qc.LEAST_ROWS:
+                gain = score(left) + score(right) - score(np.ones(len(x), bool))
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, cut)
+    return best
+
+
+def test_cuts_are_the_best_of_all():
+    """Every node of a tree against a search over all features and cuts; leaves against their closed form."""
+    rng = np.random.default_rng(7)
+    for _ in range(8):
+        n, depth, bins = 200, 3, 16
+        x = np.round(rng.normal(size=(n, 4)), int(rng.integers(0, 3)))
+        y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.5, n)) > 0).astype(float)
+        forest = qc.fit(x, y, trees=1, depth=depth, rate=1.0, bins=bins)
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(4)]
+        p = y.mean()
+        g, h = p - y, np.full(n, p * (1 - p))
+        at = np.zeros(n, int)
+        for node in range(2**depth - 1):
+            rows = at == node
+            gain, j, cut = brute_cut(x[rows], g[rows], h[rows], edges)
+            if j is None or gain <= 1e-6:
+                assert not np.isfinite(forest.threshold[0, node])
+            else:
+                assert np.isclose(brute_cut(x[rows][:, [forest.feature[0, node]]], g[rows], h[rows], [[forest.threshold[0, node]]])[0], gain)
+            at[rows] = 2 * node + 1 + (x[rows, forest.feature[0, node]] > forest.threshold[0, node])
+        for leaf in range(2**depth):
+            rows = at == 2**depth - 1 + leaf
+            assert np.isclose(forest.leaf[0, leaf], -g[rows].sum() / (h[rows].sum() + qc.L2))
+
+
 @pytest.mark.parametrize("y", [[], [1.0], [0.0, 0.0]])
 def test_forests_of_one_class(y):
     forest = qc.fit(np.zeros((len(y), 3)), np.array(y))
@@ -79,10 +118,66 @@ def test_languages_on_edge_rows(spark):
 def test_penalties_keep_weights_sparse_and_temperature_positive():
     texts = [("the cat sat on the mat again", "en"), ("der hund lief über die straße", "de")] * 30
     model = language_id.fit([(*language_id.ngram_counts(t), y) for t, y in texts])
-    assert (model.weights == 0).mean() > 0.99 and model.temperature > 0
+    assert len(model.weights.value) < 0.01 * 2 * 2**language_id.BITS and model.temperature > 0
     assert model.predict("the mat")[0] == "en" and model.predict("die straße")[0] == "de"
 
 
+def test_sparse_products_are_the_dense_ones():
+    rng = np.random.default_rng(2)
+    for width in (0, 1, 5):
+        dense = rng.normal(size=(300, width)) * (rng.random((300, width)) < 0.05)
+        sparse = language_id.Sparse(dense)
+        for _ in range(20):
+            columns = np.sort(rng.choice(300, int(rng.integers(0, 60)), replace=False))
+            values = rng.normal(size=len(columns))
+            assert np.allclose(sparse.times(columns, values), values @ dense[columns], atol=1e-6)
+    assert language_id.Sparse(np.zeros((9, 2))).times(np.array([1, 5]), np.ones(2)).tolist() == [0, 0]
+
+
+def brute_fit(rows, order):
+    """FTRL-proximal with elastic net, weight by weight in plain floats; ``rows`` are (places, values, class)."""
+    z, n, langs = {}, {}, sorted({y for *_, y in rows})
+
+    def weight(key):
+        if abs(z.get(key, 0)) <= language_id.L1:
+            return 0.0
+        sign = 1 if z[key] > 0 else -1
+        return (sign * language_id.L1 - z[key]) / ((language_id.BETA + n[key] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    for i in order:
+        columns, values, y = rows[i]
+        logit = [weight(("bias", k)) + sum(v * weight((c, k)) for c, v in zip(columns, values)) for k in langs]
+        total = sum(np.exp(x) for x in logit)
+        for k in langs:
+            error = np.exp(logit[langs.index(k)]) / total - (k == y)
+            for key, g in [(("bias", k), error), *(((c, k), v * error) for c, v in zip(columns, values))]:
+                w, old = weight(key), n.get(key, 0.0)
+                n[key] = old + g * g
+                z[key] = z.get(key, 0.0) + g - (n[key] ** 0.5 - old**0.5) / language_id.ALPHA * w
+    return weight
+
+
+def test_training_matches_brute_force():
+    texts = [("the cat", "en"), ("le chat", "fr"), ("der hund", "de"), ("a dog", "en"), ("un chien", "fr"), ("die katze", "de")] * 3
+    rows = [(*language_id.ngram_counts(t), y) for t, y in texts]
+    model = language_id.fit(rows)
+    known = [r for i, r in enumerate(rows) if i % 5 != 4]
+    rng = np.random.default_rng(0)
+    order = [i for _ in range(language_id.EPOCHS) for i in rng.permutation(len(known))]
+    weight = brute_fit([(c, model.values(c, n), y) for c, n, y in known], order)
+    places = sorted({int(c) for c, _, _ in rows for c in c})
+    for k, lang in enumerate(model.langs):
+        assert np.isclose(model.bias[k], weight(("bias", lang)))
+        got = [model.weights.times(np.array([c]), np.ones(1))[k] for c in places]
+        assert np.allclose(got, [weight((c, lang)) for c in places], atol=1e-6)
+
+
+def test_languages_beyond_the_bound_are_not_learnt(spark):
+    rows = [(i, f"text of language {i % 4}", f"l{min(i % 4, 2)}", "s", 1, *["c"] * 8) for i in range(200)]
+    langs = language_id.learn(frame(spark, rows), languages=2).langs
+    assert len(langs) == 2 and "l2" in langs  # the one with most documents
+
+
 def test_ngrams_cover_the_whole_text():
     head = "abc " * 5000
     a, b = language_id.ngram_counts(head), language_id.ngram_counts(head + "xyz")
