@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import importable, spread
 
@@ -61,8 +62,14 @@ def partitions_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-#: Columns that ranking adds and that its users take away again.
-OWN_COLUMNS = ("_row", "_part", "_place", "_at", "_arc")
+def in_one(df: DataFrame, name: str = "data"):
+    """All columns of ``df`` as one struct, so that their names can't clash with an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias(name)
+
+
+def out_of(ranked: DataFrame, df: DataFrame, added: list[str], name: str = "data") -> DataFrame:
+    """The columns of ``df`` again, and those that were added; an added one replaces one of its name."""
+    return ranked.select(*(F.col(name).getField(c).alias(c) for c in df.columns if c not in added), *added)
 
 
 def _number(batches):
@@ -86,6 +93,6 @@ def range_ranked(narrow: DataFrame, keys: list[str], name: str) -> DataFrame:
     grow with the data) turn both into a global rank.  One shuffle, no window, no join.
     """
     n = partitions_for(narrow)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema) + ", _part int, _place long"
+    schema = T.StructType([*narrow.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_place", T.LongType())])
     ordered = narrow.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     return materialise(ordered.mapInArrow(_number, schema), name)

@@ -16,8 +16,10 @@ Placement: pieces are numbered within their length by one range shuffle of a nar
 (``common.range_ranked``), and the plan, a few thousand ranges of ranks, gives each its sequence
 and offset.  A length that a third of all pieces share is spread over many partitions.
 
-Defined results: a null or empty text is one piece, the separator alone; repeated rows are packed
-each; extra columns are ignored; an empty table gives no rows; a null doc_id stays null.
+Defined results: a null or empty text is one piece, the separator alone; very long texts are encoded whole, in
+memory of a few times their size; repeated rows are packed each; pieces of equal length are interchangeable, and
+which takes which place is undefined; extra columns are ignored by ``pack_documents`` and kept by ``pack``, whatever
+their names; an empty table gives no rows; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .pretoken import PretokenEncoder
@@ -232,19 +235,19 @@ def _placer(shared):
             part, place, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_place", "length"))
             rank = np.array([before[p, x] for p, x in zip(part.tolist(), length.tolist(), strict=True)], np.int64) + place
             sequence, offset = placement.place(length, rank)
-            keep = [c for c in batch.schema.names if c not in common.OWN_COLUMNS]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("data"), pa.array(sequence), pa.array(offset)], names=["data", "sequence_id", "offset"])
 
     return run
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; other columns are kept.
+    """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; other columns are kept, but for two of these names.
 
     ``cut`` should come from a table, since it is read twice (bounds, then rows).
     """
     spark = cut.sparkSession
-    ranked = common.range_ranked(cut.withColumn("_row", F.monotonically_increasing_id()), ["length", "_row"], "packing-ranked")
+    rows = cut.select(common.in_one(cut), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("_row"))
+    ranked = common.range_ranked(rows, ["length", "_row"], "packing-ranked")
     # Sorted by length, a partition holds a stretch of lengths: at most partitions + capacity groups in all.
     groups = ranked.groupBy("length", "_part").agg(F.count("*").alias("n"), F.min("_place").alias("first")).collect()
     counts: dict[int, int] = {}
@@ -253,8 +256,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         before[g._part, g.length] = counts.get(g.length, 0) - g.first
         counts[g.length] = counts.get(g.length, 0) + g.n
     shared = spark.sparkContext.broadcast((Placement(plan_packing(counts, capacity), capacity), before))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_placer(shared), schema)
+    schema = T.StructType([ranked.schema["data"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return common.out_of(ranked.select("data", "length", "_part", "_place").mapInArrow(_placer(shared), schema), cut, ["sequence_id", "offset"])
 
 
 def pack_documents(docs: DataFrame, path: str, separator: int = 0, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:

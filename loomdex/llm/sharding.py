@@ -11,8 +11,9 @@ ring, its first ones stay, the rest flow on.  One range shuffle of a narrow tabl
 (``common.range_ranked``); the driver sees a count per (arc, partition), at most arcs + partitions.
 
 Defined results: a null text has a size of 1 byte and the crc32 of nothing, 0; repeated rows and
-null ids are placed each (ties in the ring are broken by the row's place in the input); extra columns are
-ignored; an empty table gives no rows.
+null ids are placed each (ties in the ring are broken by the row's place in the input); very long texts count like
+others, only their size and checksum travel; extra columns are ignored by ``shard_documents`` and kept by
+``shard_rows``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -102,12 +104,12 @@ class Slices:
 
 
 def _arcs(points: np.ndarray):
-    """Append the arc of each ring position: the first point at or after it, the first of all after the last."""
+    """(data, _at, _arc): the arc of each ring position is the first point at or after it, the first of all after the last."""
 
     def run(batches):
         for batch in batches:
-            at = np.searchsorted(points, batch.column(0).to_numpy()) % len(points)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(at.astype(np.int32))], names=[*batch.schema.names[1:], "_arc"])
+            at = np.searchsorted(points, batch.column(1).to_numpy()) % len(points)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["data", "_at", "_arc"])
 
     return run
 
@@ -119,21 +121,19 @@ def _placer(shared):
             part, place, arc = (batch.column(c).to_numpy() for c in ("_part", "_place", "_arc"))
             rank = place + np.array([before[k] for k in zip(part.tolist(), arc.tolist(), strict=True)], np.int64)
             shard, slot = slices.place(arc, rank)
-            keep = [c for c in batch.schema.names if c not in common.OWN_COLUMNS]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(shard), pa.array(slot)], names=[*keep, "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([batch.column("data"), pa.array(shard), pa.array(slot)], names=["data", "shard", "slot"])
 
     return run
 
 
 def shard_rows(narrow: DataFrame, key: str, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
-    """Add shard and slot to every row of ``narrow``; the ring position is the hash of ``key``."""
+    """Add shard and slot to every row of ``narrow``, in place of columns of these names; the ring position is the hash of ``key``."""
     spark = narrow.sparkSession
     common.prepare(spark)
     points, owner = ring(shards, virtual)
-    plain = [f for f in narrow.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
-    placed = narrow.select(F.xxhash64(F.col(key)).alias("_position"), *(f"`{f.name}`" for f in plain), F.xxhash64(F.col(key)).alias("_at"))
-    written = common.materialise(placed.mapInArrow(_arcs(points), schema + ", _at long, _arc int"), "sharding-rows")
+    placed = narrow.select(common.in_one(narrow), F.xxhash64(F.col(f"`{key}`")).alias("_at"))
+    schema = T.StructType([*placed.schema.fields, T.StructField("_arc", T.IntegerType())])
+    written = common.materialise(placed.mapInArrow(_arcs(points), schema), "sharding-rows")
     # Arcs in ring order; the arc that wraps around holds the highest and the lowest positions, and its order doesn't matter.
     ranked = common.range_ranked(written.withColumn("_row", F.monotonically_increasing_id()), ["_arc", "_at", "_row"], "sharding-ranked")
     groups = ranked.groupBy("_arc", "_part").agg(F.count("*").alias("n"), F.min("_place").alias("first")).collect()
@@ -143,7 +143,8 @@ def shard_rows(narrow: DataFrame, key: str, shards: int = SHARDS, virtual: int =
         arcs[g._arc] += g.n
     slices = Slices(resolve(arcs, owner, quotas(int(arcs.sum()), shards)))
     shared = spark.sparkContext.broadcast((slices, before))
-    return ranked.mapInArrow(_placer(shared), schema + ", shard int, slot long")
+    schema = T.StructType([ranked.schema["data"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return common.out_of(ranked.select("data", "_arc", "_part", "_place").mapInArrow(_placer(shared), schema), narrow, ["shard", "slot"])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

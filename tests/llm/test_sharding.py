@@ -37,7 +37,7 @@ def test_most_rows_stay_with_the_ring_and_few_move(spark):
     narrow = spark.range(8000).withColumnRenamed("id", "doc_id")
     a, b = sharding.shard_rows(narrow, "doc_id", 16), sharding.shard_rows(narrow, "doc_id", 17)
     r = sharding.moved(a, b).first()
-    assert r.rows == 8000 and r.moved < 8000 * 0.35  # 1 in 17 has to
+    assert r.rows == 8000 and r.moved < 8000 * 0.1  # 1 in 17 has to
 
 
 def test_resolve_is_the_walk_over_single_keys():
@@ -59,3 +59,41 @@ def test_resolve_is_the_walk_over_single_keys():
         for a, x in enumerate(out):
             home = sum(c for s, c in x if s == owner[a])
             assert home == arcs[a] or used[owner[a]] == room[owner[a]]
+
+
+def walk(arcs, owner, room):
+    """Each key on its own: to its shard while that has room, else clockwise to the first point whose shard has."""
+    room, placed, over = room.copy(), [[] for _ in arcs], []
+    for a, count in enumerate(arcs):
+        for _ in range(int(count)):
+            if room[owner[a]]:
+                room[owner[a]] -= 1
+                placed[a].append(int(owner[a]))
+            else:
+                over.append(a)
+    for a in over:
+        s = next(int(owner[(a + k) % len(arcs)]) for k in range(len(arcs)) if room[owner[(a + k) % len(arcs)]])
+        room[s] -= 1
+        placed[a].append(s)
+    return placed
+
+
+def test_resolve_places_each_key_where_the_walk_does():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n, shards = int(rng.integers(3, 40)), int(rng.integers(1, 4))
+        arcs, owner = rng.integers(0, 12, n) * rng.integers(0, 2, n), rng.integers(0, shards, n).astype(np.int32)
+        owner[:shards] = np.arange(shards)
+        if rng.random() < 0.5:
+            arcs[rng.integers(0, n)] = 200  # a hot arc
+        room = sharding.quotas(int(arcs.sum()), shards)
+        out = sharding.resolve(arcs, owner, room)
+        assert [[s for s, count in parts for _ in range(count)] for parts in out] == walk(arcs, owner, room)
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    own = ["_row", "_part", "_place", "_at", "_arc", "data", "shard", "odd `name.x"]
+    df = spark.createDataFrame([(i, *[f"{c}{i}" for c in own]) for i in range(40)], ["key", *own])
+    out = sharding.shard_rows(df, "key")
+    assert out.columns == ["key", *[c for c in own if c != "shard"], "shard", "slot"]
+    assert {(r["key"], r["_arc"], r["odd `name.x"]) for r in out.collect()} == {(i, f"_arc{i}", f"odd `name.x{i}") for i in range(40)}

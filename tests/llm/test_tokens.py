@@ -16,6 +16,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 
 
+FIRST = token_counts.LengthTable(["the", "s", "İ"], [1, 1, len(LIBRARY.encode("İ", add_special_tokens=False).ids)])
+
+
 def ids(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
@@ -26,9 +29,29 @@ CHARS = st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("aBé'sİΣ
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(CHARS, max_size=30).map("".join), max_size=4))
 def test_pretokens_give_the_librarys_ids(texts):
-    for first in (None, {"the": ids("the"), "s": ids("s")}):
-        encoder = pretoken.PretokenEncoder(PATH, "test", list, first)
-        assert [[i for w in x for i in w] for x in encoder.values(texts)] == [ids(t) for t in texts]
+    encoder = pretoken.PretokenEncoder(PATH, "test", list)
+    assert [[i for w in x for i in w] for x in encoder.values(texts)] == [ids(t) for t in texts]
+    counter = pretoken.PretokenEncoder(PATH, "counts", len, FIRST)
+    assert [sum(x) for x in counter.values(texts)] == [len(ids(t)) for t in texts]
+
+
+def test_length_table_holds_its_words_and_no_others(monkeypatch):
+    words = [f"w{i}" for i in range(500)] + ["é", "漢字", "the"]
+    table = token_counts.LengthTable(words, [len(w) for w in words])
+    assert table.lookup([*words, "no", "W1", ""]) == {w: len(w) for w in words}
+    assert token_counts.LengthTable([], []).lookup(["a"]) == {} and table.lookup([]) == {}
+    monkeypatch.setattr(token_counts.xxhash, "xxh64_intdigest", lambda b: len(b))  # most words collide
+    table = token_counts.LengthTable(words, [len(w) for w in words])
+    found = table.lookup([*words, "no", "xxx"])
+    assert found and all(n == len(w) and w in words for w, n in found.items())
+
+
+def test_first_tier_is_bounded_and_frequent(spark):
+    docs = spark.createDataFrame([("often seldom" + str(i) + " often " + " ".join(f"{chr(97 + k % 26) * (1 + k // 26)}q" for k in range(600)) + " often" * 3,) for i in range(300)], "text string")
+    words = token_counts.frequent_pretokens(docs, size=10, sample=200)
+    assert words[0] == "often" and len(words) == 10
+    assert len(token_counts.frequent_pretokens(docs, sample=200)) <= token_counts.PER_TEXT + 12
+    assert token_counts.frequent_pretokens(docs.limit(0)) == []
 
 
 def test_generations_forget_and_find_again(monkeypatch):
@@ -114,9 +137,11 @@ def test_large_counts_pack_tightly():
 
 
 def test_pack_keeps_other_columns(spark):
-    cut = spark.createDataFrame([(f"n{i}", 1 + i * 7 % 90, None) for i in range(50)], "name string, length long, _note string")
+    own = ["name", "_row", "_part", "_place", "_at", "_arc", "data", "offset", "a.b"]
+    cut = spark.createDataFrame([(1 + i * 7 % 90, *[f"{c}{i}" for c in own]) for i in range(50)], ["length", *own])
     out = packing.pack(cut, 100)
-    assert out.columns == ["name", "length", "_note", "sequence_id", "offset"]
+    assert out.columns == ["length", *[c for c in own if c != "offset"], "sequence_id", "offset"]
+    assert {(r["_row"], r["a.b"]) for r in out.collect()} == {(f"_row{i}", f"a.b{i}") for i in range(50)}
     ends = Counter()
     for r in sorted(out.collect(), key=lambda r: (r.sequence_id, r.offset)):
         assert ends[r.sequence_id] == r.offset
