@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_lines, bucket_of, clean_relative
+from ..functions.text import as_lines, bucket_of, clean_relative, let
 from ..functions.tokens import terms
 from ..session import spread
 
@@ -30,17 +30,44 @@ def _stretches(columns: list[str]):
     return F.concat(*(F.coalesce(p.cast("array<struct<field:string,line:int,text:string>>"), none) for p in parts))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", buckets: int | None = None) -> DataFrame:
+def _runs(emitted: Column) -> Column:
+    """(term, tf, fields, lines) of each run of equal terms in a sorted array of (term, line, field)."""
+
+    def of(e: Column) -> Column:
+        n = F.size(e)
+        first = lambda i: (i == 1) | (F.get(e, i - 1)["term"] != F.get(e, i - 2)["term"])
+        starts = F.filter(F.sequence(F.lit(1), n), first)
+
+        def run(starts: Column) -> Column:
+            own = lambda s, k: F.slice(e, s, F.coalesce(F.get(starts, k + 1), n + 1) - s)
+            row = lambda part: F.struct(
+                F.get(part, F.lit(0))["term"].alias("term"), F.size(part).cast("long").alias("tf"),
+                F.sort_array(F.array_distinct(F.transform(part, lambda x: x["field"]))).alias("fields"),
+                F.slice(F.array_distinct(F.transform(part, lambda x: x["line"])), 1, LINES).alias("lines"),
+            )
+            return F.transform(starts, lambda s, k: let(own(s, k), row))
+
+        return let(starts, run)
+
+    return let(F.sort_array(emitted), of)
+
+
+def postings(docs: DataFrame, key: str = "doc_id", buckets: int | None = None, only: list[str] | None = None) -> DataFrame:
     """term, ``key``, tf, fields, lines of ``docs`` (text or lines; rel_path, title, catalog and extra if there).
 
-    A document is one row, so the aggregation is complete before its shuffle.  With ``buckets`` the
+    A document is one row, so its terms are sorted and counted within the row: a map, without any shuffle.  ``only``
+    keeps the terms of a query; stretches that hold none of them aren't cut into terms at all.  With ``buckets`` the
     term's bucket is added.
     """
-    stretch = spread(docs).select(key, F.explode(_stretches(docs.columns)).alias("s"))
-    emitted = stretch.select(key, "s.field", "s.line", F.explode(terms(F.col("s.text"))).alias("term")).filter("term <> ''")
-    out = emitted.groupBy(key, "term").agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_set("field")).alias("fields"), F.slice(F.array_sort(F.collect_set("line")), 1, LINES).alias("lines")
-    )
+    stretches = _stretches(docs.columns)
+    if only is not None:
+        holds = lambda s: F.exists(F.array(*(F.lit(t) for t in only)).cast("array<string>"), lambda t: F.contains(s, t))
+        stretches = F.filter(stretches, lambda s: let(F.lower(s["text"]), holds))
+    wanted = lambda t: (t != "") if only is None else t.isin(*only)
+    of = lambda s: F.transform(F.filter(terms(s["text"]), wanted), lambda t: F.struct(t.alias("term"), s["line"].alias("line"), s["field"].alias("field")))
+    emitted = F.flatten(F.transform(stretches, of))
+    runs = let(emitted, lambda e: F.when(F.size(e) > 0, _runs(e)))
+    out = spread(docs).select(key, F.explode(runs).alias("r")).select("r.term", key, "r.tf", "r.fields", "r.lines")
     return out if buckets is None else out.withColumn("bucket", bucket_of(F.col("term"), buckets))
 
 

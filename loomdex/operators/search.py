@@ -33,6 +33,12 @@ def term_weight(tf: Column, df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (K1 + 1)) / (tf + K1)
 
 
+def wanted_terms(query: str, phrase_terms: bool = False) -> list[str]:
+    """The distinct terms that ``rank`` looks for, so that postings can be asked for these alone."""
+    groups, phrases = parse_query(query)
+    return sorted({t for x in groups + (phrases if phrase_terms else []) for t in needles(x)})
+
+
 def rank(post: DataFrame, query: str, visible: DataFrame | None = None, n_docs: int | None = None, key: str = "doc_id", boost: bool = True, phrase_terms: bool = False, with_lines: bool = True) -> DataFrame:
     """``key``, score, groups, partial and (``with_lines``) lines of the documents that cover the query.
 
@@ -47,7 +53,7 @@ def rank(post: DataFrame, query: str, visible: DataFrame | None = None, n_docs:
     wanted = spark.createDataFrame(pairs, "g int, term string")
     hits = post.filter(F.col("term").isin(*{t for _, t in pairs})) if pairs else post.filter(F.lit(False))
     if visible is not None:
-        hits = hits.join(visible.select(key).distinct(), key, "left_semi")
+        hits = hits.join(visible.select(key), key, "left_semi")
         total = visible.agg(F.greatest(F.countDistinct(key), F.lit(1)).alias("n"))
     elif n_docs is not None:
         total = spark.range(1).select(F.lit(max(1, n_docs)).cast("long").alias("n"))
