@@ -100,8 +100,9 @@ def df_top_terms(spark, sf_dir):
     return document_frequencies(postings(_table(spark, sf_dir, "documents").select("doc_id", "text"))).orderBy(F.desc("df"), "term").limit(100)
 
 
-def _body_postings(spark, sf_dir) -> DataFrame:
-    return postings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _asked(docs: DataFrame, query: str) -> DataFrame:
+    """Postings of the query's terms alone, made from the texts on the fly; ``index_search`` reads them from an index."""
+    return postings(docs, only=search.wanted_terms(query))
 
 
 _GROUPS = [["thand"], ["nder"], ["inea"]]
@@ -110,39 +111,39 @@ _GROUPS = [["thand"], ["nder"], ["inea"]]
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS))
 def bm25_search(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _ranked(search.rank(postings(docs), QUERY, docs, boost=False, with_lines=False))
+    return _ranked(search.rank(_asked(docs, QUERY), QUERY, docs, boost=False, with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS, limit=20))
 def bm25_top_k(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranked = search.rank(postings(docs), QUERY, docs, boost=False, with_lines=False).withColumn("score", F.round("score", 6))
+    ranked = search.rank(_asked(docs, QUERY), QUERY, docs, boost=False, with_lines=False).withColumn("score", F.round("score", 6))
     return _ranked(search.best(ranked, 20))
 
 
 @_query(_rank_sql(_postings_sql(_FIELDS_SQL), [["src3"], ["thand"], ["de"]], boost=True))
 def bm25_field_boost(spark, sf_dir):
     docs = _fielded(spark, sf_dir)
-    return _ranked(search.rank(postings(docs), BOOSTED, docs.select("doc_id"), with_lines=False))
+    return _ranked(search.rank(_asked(docs, BOOSTED), BOOSTED, docs.select("doc_id"), with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS, where="source IN ('src1', 'src2', 'src7')"))
 def bm25_scoped(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     visible = docs.filter(F.col("source").isin("src1", "src2", "src7")).select("doc_id")
-    return _ranked(search.rank(postings(docs.select("doc_id", "text")), QUERY, visible, boost=False, with_lines=False))
+    return _ranked(search.rank(_asked(docs.select("doc_id", "text"), QUERY), QUERY, visible, boost=False, with_lines=False))
 
 
 @_query(_rank_sql(_postings_sql(_BODY_SQL), [["that"], ["the"], ["zzzz"]]))
 def bm25_partial_coverage(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _ranked(search.rank(postings(docs), PARTIAL, docs, boost=False, with_lines=False))
+    return _ranked(search.rank(_asked(docs, PARTIAL), PARTIAL, docs, boost=False, with_lines=False))
 
 
 @_query(f"SELECT r.* FROM ({_rank_sql(_postings_sql(_BODY_SQL), [['that']])}) r JOIN documents d USING (doc_id) WHERE contains(lower(regexp_replace(d.text, '[ \\t]+', ' ', 'g')), 'of the')")
 def phrase_search(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(search.rank(postings(docs), PHRASE, docs, boost=False, with_lines=False), "doc_id")
+    found = docs.join(search.rank(_asked(docs, PHRASE), PHRASE, docs, boost=False, with_lines=False), "doc_id")
     return _ranked(search.has_phrases(found, ["of the"]))
 
 
@@ -196,7 +197,12 @@ def exact_duplicates(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("source_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
-@_query("""SELECT CAST(doc_id AS VARCHAR) AS rel_path, CASE WHEN doc_id % 7 = 0 THEN 'insert' WHEN doc_id % 11 = 0 THEN 'delete' WHEN doc_id % 5 <> 0 THEN 'same' WHEN doc_id % 2 = 0 THEN 'update' ELSE 'same' END AS status FROM documents""")
+@_query("""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS rel_path, n_chars AS size, 1.0 AS mtime_ms, '' AS fingerprint, sha256(text) AS source_hash FROM documents WHERE doc_id % 7 <> 0),
+n AS (SELECT CAST(doc_id AS VARCHAR) AS rel_path, n_chars AS size, CASE WHEN doc_id % 5 = 0 THEN 2.0 ELSE 1.0 END AS mtime_ms, '' AS fingerprint, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS source_hash
+  FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0)
+SELECT coalesce(p.rel_path, n.rel_path) AS rel_path, CASE WHEN p.rel_path IS NULL THEN 'insert' WHEN n.rel_path IS NULL THEN 'delete'
+  WHEN p.size = n.size AND p.mtime_ms = n.mtime_ms AND p.fingerprint = n.fingerprint THEN 'same' WHEN p.source_hash = n.source_hash AND p.fingerprint = n.fingerprint THEN 'same' ELSE 'update' END AS status
+FROM p FULL OUTER JOIN n ON p.rel_path = n.rel_path""")
 def incremental_diff(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     row = lambda stamp, body: (F.col("doc_id").cast("string").alias("rel_path"), F.col("n_chars").alias("size"), stamp.cast("double").alias("mtime_ms"), F.lit("").alias("fingerprint"), F.sha2(body, 256).alias("source_hash"))
@@ -232,10 +238,28 @@ def _configured(spark):
     return spark.createDataFrame(_ROOTS, ownership.ROOTS), spark.createDataFrame(_BINDINGS, ownership.BINDINGS)
 
 
-_OWNERSHIP_SQL = f"""WITH f AS ({_PLACES_SQL})
-SELECT path, CASE WHEN source IN ('src9', 'src1') OR path = '/kb/src3/3.txt' THEN TRUE ELSE FALSE END AS excluded, source = 'src1' AS conflict,
-  CASE WHEN source IN ('src9', 'src1', 'src5') OR path = '/kb/src3/3.txt' THEN 'unassigned' WHEN source IN ('src4', 'src3') THEN 'projects' ELSE 'shared' END AS kind,
-  CASE WHEN source IN ('src9', 'src1') OR path = '/kb/src3/3.txt' THEN '' WHEN source = 'src4' THEN 'p1,p2' WHEN path = '/kb/src3/23.txt' THEN 'p1' WHEN source = 'src3' THEN 'p3' ELSE '' END AS projects FROM f"""
+_EXCLUDED_SQL = "list_bool_or(list_concat([false], list_transform({rules}, lambda x: rtrim(ltrim(replace(x, chr(92), '/'), '/'), '/') <> '' AND ({path} = rtrim(ltrim(replace(x, chr(92), '/'), '/'), '/') OR starts_with({path}, rtrim(ltrim(replace(x, chr(92), '/'), '/'), '/') || '/')))))"
+
+
+def _values(rows: list[tuple]) -> str:
+    """Configuration as a VALUES list, written from the same constants that the query uses."""
+    one = lambda x: "[" + ", ".join(map(one, x)) + "]::VARCHAR[]" if isinstance(x, list) else "'" + x + "'"
+    return ", ".join("(" + ", ".join(one(x) for x in row) + ")" for row in rows)
+
+
+_COVERED_SQL = f"""f AS ({_PLACES_SQL}),
+roots(root, base, rules) AS (VALUES {_values(_ROOTS)}),
+bindings(root, bind, kind, projects) AS (VALUES {_values([(r, p, k, sorted(set(ids))) for r, p, (k, ids) in _BINDINGS])}),
+inside AS (SELECT path, root, base, rules, substr(path, length(base) + 2) AS rel FROM f JOIN roots ON starts_with(path, base || '/')),
+covered AS (SELECT *, {_EXCLUDED_SQL.format(rules="rules", path="rel")} AS excluded, regexp_matches(rel, '^(digests|lessons|\\.loomdex)(/|$)') AS managed FROM inside),
+placed AS (SELECT path, bool_or(excluded) AS excluded, bool_or(managed) AS managed FROM covered GROUP BY path)"""
+_OWNERSHIP_SQL = f"""WITH {_COVERED_SQL},
+hit AS (SELECT c.path, b.bind = c.rel AS exact, length(CASE WHEN b.bind = '.' THEN c.base ELSE c.base || '/' || b.bind END) AS depth, b.kind || ':' || array_to_string(b.projects, ',') AS scope
+  FROM covered c JOIN bindings b ON b.root = c.root AND (b.bind = '.' OR b.bind = c.rel OR starts_with(c.rel, b.bind || '/')) JOIN placed p ON p.path = c.path WHERE b.bind = c.rel OR NOT p.managed),
+best AS (SELECT path, scope, dense_rank() OVER (PARTITION BY path ORDER BY exact DESC, depth DESC) AS place FROM hit),
+top AS (SELECT path, count(DISTINCT scope) AS scopes, min(scope) AS scope FROM best WHERE place = 1 GROUP BY path),
+own AS (SELECT f.path, coalesce(p.excluded, FALSE) AS gone, coalesce(t.scopes > 1, FALSE) AND NOT coalesce(p.excluded, FALSE) AS conflict, t.scope FROM f LEFT JOIN placed p ON p.path = f.path LEFT JOIN top t ON t.path = f.path)
+SELECT path, gone OR conflict AS excluded, conflict, CASE WHEN gone OR conflict OR scope IS NULL THEN 'unassigned' ELSE split_part(scope, ':', 1) END AS kind, CASE WHEN gone OR conflict OR scope IS NULL THEN '' ELSE split_part(scope, ':', 2) END AS projects FROM own"""
 
 
 @_query(_OWNERSHIP_SQL)
@@ -252,36 +276,43 @@ def visibility(spark, sf_dir):
     return own.filter(ownership.is_visible(F.col("excluded"), F.col("kind"), F.col("projects"), True, ["p2"])).select("path")
 
 
-@_query(f"SELECT path, CASE WHEN source = 'src1' THEN 'one' WHEN source = 'src3' THEN 'three' ELSE 'all' END AS root, source = 'src9' OR path = '/kb/src3/3.txt' AS excluded FROM ({_PLACES_SQL})")
+@_query(f"""WITH {_COVERED_SQL}
+SELECT f.path, max_by(c.root, length(c.base)) AS root, coalesce(bool_or(c.excluded), FALSE) AS excluded FROM f LEFT JOIN covered c ON c.path = f.path GROUP BY f.path""")
 def most_specific_root(spark, sf_dir):
     return ownership.most_specific_root(_documents(spark, sf_dir).select("path"), _configured(spark)[0])
 
 
-@_query("SELECT '/kb/src1' AS target, CAST(2 AS BIGINT) AS scopes")
+@_query(f"""WITH {_COVERED_SQL}, t AS (SELECT CASE WHEN b.bind = '.' THEN r.base ELSE r.base || '/' || b.bind END AS target, b.kind || ':' || array_to_string(b.projects, ',') AS scope FROM bindings b JOIN roots r ON r.root = b.root)
+SELECT target, count(DISTINCT scope) AS scopes FROM t GROUP BY target HAVING count(DISTINCT scope) > 1""")
 def binding_conflicts(spark, sf_dir):
     return ownership.binding_conflicts(*_configured(spark))
 
 
-@_query(f"SELECT path AS cwd, CASE WHEN source = 'src1' THEN 'deep' WHEN source = 'src2' THEN NULL ELSE 'top' END AS project_id, source = 'src2' AS ambiguous FROM ({_PLACES_SQL})")
+@_query(f"""WITH f AS ({_PLACES_SQL}), w(id, space) AS (VALUES ('top', '/kb'), ('deep', '/kb/src1'), ('deep', '/kb/src2'), ('twin', '/kb/src2')),
+above AS (SELECT path, id, dense_rank() OVER (PARTITION BY path ORDER BY length(space) DESC) AS place FROM f JOIN w ON path = space OR starts_with(path, space || '/')),
+top AS (SELECT path, min(id) AS id, count(DISTINCT id) > 1 AS many FROM above WHERE place = 1 GROUP BY path)
+SELECT f.path AS cwd, CASE WHEN NOT many THEN id END AS project_id, coalesce(many, FALSE) AS ambiguous FROM f LEFT JOIN top t ON t.path = f.path""")
 def workspace_match(spark, sf_dir):
     projects = spark.createDataFrame([("top", ["/kb"]), ("deep", ["/kb/src1", "/kb/src2"]), ("twin", ["/kb/src2"])], "id string, workspaces array<string>")
     return ownership.match_workspace(_documents(spark, sf_dir).select(F.col("path").alias("cwd")), projects)
 
 
-@_query(f"SELECT doc_id FROM ({_PLACES_SQL}) WHERE source <> 'src7' AND path <> '/kb/src2/2.txt'")
+@_query(f"SELECT doc_id FROM (SELECT doc_id, substr(path, 5) AS rel FROM ({_PLACES_SQL})) WHERE NOT {_EXCLUDED_SQL.format(rules="['src7/', chr(92) || 'src2' || chr(92) || '2.txt', 'src', '']", path='rel')}")
 def exclude_rules(spark, sf_dir):
     rules = F.array(F.lit("src7/"), F.lit("\\src2\\2.txt"), F.lit("src"), F.lit(""))
     return _documents(spark, sf_dir).filter(~tx.excluded(F.col("rel_path"), rules)).select("doc_id")
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'binary' WHEN doc_id % 3 = 1 THEN 'non-utf8' WHEN octet_length(encode(text)) > 1048576 THEN 'too-large' END AS reason FROM documents")
+@_query(f"""WITH c AS (SELECT doc_id, encode(text) || CASE doc_id % 3 WHEN 0 THEN '\\x00'::BLOB WHEN 1 THEN '\\xFF\\xFE'::BLOB ELSE ''::BLOB END AS content FROM documents)
+SELECT doc_id, CASE WHEN octet_length(content) > {tx.FILE_MAX} THEN 'too-large' WHEN regexp_matches(hex(content), '^(?:[0-9A-F]{{2}})*00') THEN 'binary' WHEN try(decode(content)) IS NULL THEN 'non-utf8' END AS reason FROM c""")
 def safe_reads(spark, sf_dir):
     body = F.encode("text", "UTF-8")
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(body, F.unhex(F.lit("00")))).when(F.col("doc_id") % 3 == 1, F.concat(body, F.unhex(F.lit("FFFE")))).otherwise(body)
     return _table(spark, sf_dir, "documents").select("doc_id", tx.skip_reason(content).alias("reason"))
 
 
-@_query("SELECT doc_id FROM documents WHERE doc_id % 5 < 3")
+@_query(f"""WITH f AS (SELECT doc_id, 'a.b/x' || (['.md', '.YAML', '.Html', '.png', ''])[CAST(doc_id % 5 + 1 AS INTEGER)] AS path FROM documents)
+SELECT doc_id FROM f WHERE regexp_extract(lower(path), '[.][^./]*$') IN {tx.TEXT_EXTENSIONS}""")
 def text_extensions(spark, sf_dir):
     ext = F.element_at(F.array(*(F.lit(x) for x in (".md", ".YAML", ".Html", ".png", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     return _table(spark, sf_dir, "documents").filter(tx.is_text_file(F.concat(F.lit("a.b/x"), ext))).select("doc_id")
@@ -308,13 +339,16 @@ def document_chunks(spark, sf_dir):
     return chunks.chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-_SECRET_SQL = "CASE doc_id % 9 WHEN 0 THEN 'private-key' WHEN 1 THEN 'github-token' WHEN 2 THEN 'api-token' WHEN 3 THEN 'slack-token' WHEN 4 THEN 'aws-key' WHEN 5 THEN 'labeled-secret' END"
+_SECRETS = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 12, "sk-" + "Ab3" * 8, "xoxb-" + "12-ab" * 5, "AKIA" + "ABCD1234" * 2, "api_key = 'qwertyuiop'", "password: changeme", "secret=short", "passwd: ${ENV_VALUE}"]
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_VALUE_SQL = f"regexp_extract(t, {_quoted(tx.LABELED)}, 1)"
+_SECRET_SQL = f"""CASE {" ".join(f"WHEN regexp_matches(t, {_quoted(p)}) THEN '{k}'" for k, p in tx.SECRETS.items())}
+  WHEN length({_VALUE_SQL}) >= 8 AND NOT regexp_matches({_VALUE_SQL}, {_quoted(tx.PLACEHOLDER)}) THEN 'labeled-secret' END"""
 
 
-@_query(f"SELECT doc_id, {_SECRET_SQL} AS kind FROM documents")
+@_query(f"SELECT doc_id, {_SECRET_SQL} AS kind FROM (SELECT doc_id, coalesce(text, '') || chr(10) || ([{', '.join(map(_quoted, _SECRETS))}])[CAST(doc_id % 9 + 1 AS INTEGER)] AS t FROM documents)")
 def secret_kinds(spark, sf_dir):
-    samples = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 12, "sk-" + "Ab3" * 8, "xoxb-" + "12-ab" * 5, "AKIA" + "ABCD1234" * 2, "api_key = 'qwertyuiop'", "password: changeme", "secret=short", "passwd: ${ENV_VALUE}"]
-    planted = F.element_at(F.array(*(F.lit(s) for s in samples)), (F.col("doc_id") % 9 + 1).cast("int"))
+    planted = F.element_at(F.array(*(F.lit(x) for x in _SECRETS)), (F.col("doc_id") % 9 + 1).cast("int"))
     return _table(spark, sf_dir, "documents").select("doc_id", tx.secret_kind(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), planted)).alias("kind"))
 
 
@@ -331,14 +365,19 @@ def record_merge(spark, sf_dir):
     return merged.select("conv_id", F.concat_ws(",", F.array_sort("topics")).alias("topics"), "summary", F.size("coverage").alias("parts"))
 
 
-@_query("""SELECT source AS root, count(*) AS total, count(*) FILTER (WHERE doc_id % 3 = 0) AS done, count(*) FILTER (WHERE doc_id % 3 = 1 AND doc_id % 2 = 0) AS failed, count(*) FILTER (WHERE doc_id % 3 = 2 OR (doc_id % 3 = 1 AND doc_id % 2 = 1)) AS pending,
-CAST(floor(100 * count(*) FILTER (WHERE doc_id % 3 = 0) / count(*) + 0.5) AS INTEGER) AS percent FROM documents GROUP BY source""")
+@_query("""WITH c AS (SELECT source AS root, CASE WHEN doc_id % 3 = 0 THEN 'completed' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'failed' WHEN doc_id % 3 = 1 THEN 'running' ELSE 'pending' END AS status FROM documents WHERE source <> 'src1' OR doc_id % 3 = 0),
+n AS (SELECT root, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IN ('pending', 'running')) AS pending FROM c GROUP BY root)
+SELECT *, CAST(floor(100 * done / total + 0.5) AS INTEGER) AS percent, CASE WHEN root = 'src2' AND pending > 0 THEN 'paused' WHEN pending = 0 AND failed = 0 THEN 'complete' WHEN pending = 0 THEN 'partly complete' ELSE 'running' END AS state FROM n""")
 def job_summary(spark, sf_dir):
     status = F.when(F.col("doc_id") % 3 == 0, "completed").when((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0), "failed").when(F.col("doc_id") % 3 == 1, "running").otherwise("pending")
-    return chunks.job_summary(_table(spark, sf_dir, "documents").select(F.col("source").alias("root"), status.alias("status"))).drop("state")
+    parts = _table(spark, sf_dir, "documents").filter("source <> 'src1' or doc_id % 3 = 0").select(F.col("source").alias("root"), status.alias("status"))
+    return chunks.job_summary(parts, paused=F.col("root") == "src2")
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'completed' WHEN doc_id % 4 = 1 THEN 'completed' ELSE 'pending' END AS status FROM documents")
+@_query("""WITH n AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS rel_path, sha256(source || '/' || doc_id || '.txt' || text) AS source_hash, 0 AS idx, 1 AS start_line, 9 AS end_line FROM documents),
+p AS (SELECT CASE WHEN doc_id % 4 <> 1 THEN rel_path END AS rel_path, source_hash, idx, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS start_line, end_line, CASE WHEN doc_id % 4 = 3 THEN 'failed' ELSE 'completed' END AS status FROM n),
+done AS (SELECT * FROM p WHERE status = 'completed')
+SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM done d WHERE (d.rel_path = n.rel_path OR d.rel_path IS NULL) AND d.source_hash = n.source_hash AND d.idx = n.idx AND d.start_line = n.start_line AND d.end_line = n.end_line) THEN 'completed' ELSE 'pending' END AS status FROM n""")
 def chunk_reuse(spark, sf_dir):
     d = _documents(spark, sf_dir).select("doc_id", "rel_path", F.sha2(F.concat("rel_path", "text"), 256).alias("source_hash"), F.lit(0).alias("idx"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
     none = F.array().cast("array<string>")
@@ -348,7 +387,17 @@ def chunk_reuse(spark, sf_dir):
     return chunks.reuse(before, d).select("doc_id", "status")
 
 
-@_query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'digest' WHEN 1 THEN 'lesson' END AS type, CASE WHEN doc_id % 4 = 0 THEN '/kb/' || source || '/' || doc_id || '.txt' END AS source_path, CASE WHEN doc_id % 4 = 0 THEN 'digest' ELSE 'lesson' END AS kind FROM documents""")
+_HEADER_SQL = r"'^<!-- [A-Za-z][A-Za-z0-9_-]*\n(\{.*?\})\n-->'"
+_META_SQL = "*, " + ", ".join(f"CASE WHEN json_valid(j) THEN json_extract_string(j, '$.{k}') END AS {c}" for k, c in {"type": "type", "createdAt": "made", "author": "author", "cwd": "cwd", "sourcePath": "source_path", "sourceHash": "source_hash", "coverage": "coverage"}.items())
+_GOOD_SQL = "coalesce(type IN ('digest', 'lesson') AND made IS NOT NULL AND author IS NOT NULL AND cwd IS NOT NULL AND (type = 'lesson' OR source_path IS NOT NULL AND source_hash IS NOT NULL AND coverage = 'full-text'), FALSE)"
+
+
+@_query(rf"""WITH d AS (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.txt' AS path FROM documents),
+h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{{"type":"digest","createdAt":"2024-01-01","author":"a","cwd":"/","sourcePath":"' || path || '","sourceHash":"h","coverage":"full-text"}}'
+  WHEN 1 THEN '{{"type":"lesson","createdAt":"2024-01-01","author":"a","cwd":"/"}}' WHEN 2 THEN '{{"type":"digest","createdAt":"2024-01-01","author":"a","cwd":"/"}}' ELSE '{{broken' END AS head FROM d),
+m AS (SELECT doc_id, {_META_SQL} FROM (SELECT doc_id, regexp_extract('<!-- notes' || chr(10) || head || chr(10) || '-->' || chr(10), {_HEADER_SQL}, 1, 's') AS j FROM h)),
+g AS (SELECT *, {_GOOD_SQL} AS good FROM m)
+SELECT doc_id, CASE WHEN good THEN type END AS type, CASE WHEN good THEN source_path END AS source_path, CASE WHEN good AND type = 'digest' THEN 'digest' ELSE 'lesson' END AS kind FROM g""")
 def note_headers(spark, sf_dir):
     d = _documents(spark, sf_dir)
     common = {"createdAt": F.lit("2024-01-01"), "author": F.lit("a"), "cwd": F.lit("/")}
@@ -361,7 +410,12 @@ def note_headers(spark, sf_dir):
     return d.select("doc_id", meta["type"].alias("type"), meta["sourcePath"].alias("source_path"), notes.note_kind(text).alias("kind"))
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'out-of-scope' WHEN doc_id % 3 = 0 THEN 'changed' WHEN doc_id % 2 = 0 THEN 'unverified' ELSE 'unchanged' END AS status FROM documents")
+@_query(rf"""WITH d AS (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.txt' AS path, text FROM documents),
+note AS (SELECT doc_id, regexp_extract('<!-- notes' || chr(10) || '{{"type":"digest","createdAt":"t","author":"a","cwd":"/","sourcePath":"' || path || '","sourceHash":"' || sha256(text) || '","coverage":"full-text"}}' || chr(10) || '-->' || chr(10), {_HEADER_SQL}, 1, 's') AS j FROM d),
+m AS (SELECT doc_id, {_META_SQL} FROM note), g AS (SELECT *, {_GOOD_SQL} AS good FROM m),
+src AS (SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'other' WHEN doc_id % 2 <> 0 THEN sha256(text) END AS hash, doc_id % 5 <> 0 AS in_scope FROM d WHERE doc_id % 7 <> 0)
+SELECT doc_id, CASE WHEN NOT good OR type <> 'digest' THEN 'unverified' WHEN s.path IS NULL THEN 'missing' WHEN NOT in_scope OR regexp_matches(s.path, '^/*(digests|lessons)(/|$)') THEN 'out-of-scope' WHEN hash IS NULL THEN 'unverified'
+  WHEN hash <> source_hash THEN 'changed' ELSE 'unchanged' END AS status FROM g LEFT JOIN src s ON s.path = g.source_path""")
 def digest_status(spark, sf_dir):
     d = _documents(spark, sf_dir)
     header = F.to_json(F.struct(F.lit("digest").alias("type"), F.lit("t").alias("createdAt"), F.lit("a").alias("author"), F.lit("/").alias("cwd"), F.col("path").alias("sourcePath"), F.sha2("text", 256).alias("sourceHash"), F.lit("full-text").alias("coverage")))
@@ -371,7 +425,11 @@ def digest_status(spark, sf_dir):
     return notes.digest_status(digests, sources).select("doc_id", "status")
 
 
-@_query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND (doc_id % 4 <> 0 OR doc_id % 3 = 0)")
+@_query("""WITH d AS (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.txt' AS path, text FROM documents),
+hit AS (SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN 'digest' ELSE 'original' END AS kind, sha256(text) AS source_hash, CASE WHEN doc_id % 4 = 0 THEN 's:' || path END AS source_path, sha256('x') AS source_file_hash FROM d),
+live AS (SELECT path, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END) AS hash FROM d UNION ALL SELECT 's:' || path, sha256(CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'y' END) FROM d)
+SELECT doc_id FROM hit h JOIN live l ON l.path = h.path AND l.hash = h.source_hash LEFT JOIN live o ON o.path = h.source_path
+WHERE h.kind NOT IN ('digest', 'derived') OR h.source_path IS NULL OR coalesce(h.source_file_hash, o.hash) = o.hash""")
 def fresh_hits(spark, sf_dir):
     d = _documents(spark, sf_dir)
     hits = d.select("doc_id", "path", F.when(F.col("doc_id") % 4 == 0, "digest").otherwise("original").alias("kind"), F.sha2("text", 256).alias("source_hash"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("s:"), "path")).alias("source_path"), F.sha2(F.lit("x"), 256).alias("source_file_hash"))
@@ -380,7 +438,10 @@ def fresh_hits(spark, sf_dir):
     return search.fresh(hits, live).select("doc_id")
 
 
-@_query("""SELECT 'd' AS folder, doc_id || '.md' AS file, 'Title ' || doc_id AS title FROM documents WHERE doc_id % 6 <> 0""")
+@_query(r"""WITH t AS (SELECT '  Title ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' —— ' ELSE ' -- ' END || doc_id || '.md ' || chr(13) || chr(10) || CASE WHEN doc_id % 6 = 0 THEN 'Other -- ' || doc_id || '.md' || chr(10) ELSE 'no title here' || chr(10) END AS body FROM documents),
+l AS (SELECT unnest(string_split(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM t),
+p AS (SELECT regexp_extract(line, '^\s*(.+?)\s+(?:——|--)\s+(\S+\.[A-Za-z0-9]+)\s*$', 2) AS file, trim(regexp_extract(line, '^\s*(.+?)\s+(?:——|--)\s+(\S+\.[A-Za-z0-9]+)\s*$', 1)) AS title FROM l)
+SELECT 'd' AS folder, file, min(title) AS title FROM p WHERE file <> '' AND NOT contains(file, '..') GROUP BY file HAVING count(DISTINCT title) = 1 AND min(title) <> ''""".replace("\\\\", "\\"))
 def export_titles(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), "doc_id")
     line = F.concat(F.lit("  Title "), "i", F.when(F.col("doc_id") % 2 == 0, " —— ").otherwise(" -- "), "i", F.lit(".md \r\n"))
@@ -397,7 +458,9 @@ def export_catalogs(spark, sf_dir):
     return notes.info_titles(c.select(F.col("conv_id").cast("string").alias("folder"), F.to_json(tree).alias("text"))).withColumn("catalog", F.array_join("catalog", "/"))
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'About ' || source ELSE 'why is it so' END AS evidence FROM documents WHERE doc_id % 2 = 0")
+@_query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'old' END AS source_hash, sha256(text) AS now, CASE WHEN doc_id % 3 = 0 THEN ['About ' || source] ELSE [] END AS topics, ['why is it so', 'about nothing'] AS questions FROM documents),
+h AS (SELECT *, lower(regexp_replace(array_to_string(list_concat(topics, questions), chr(10)), '[ \t]+', ' ', 'g')) AS hay FROM r)
+SELECT doc_id, substr(list_filter(list_concat(topics, questions), lambda x: contains(lower(x), 'why') OR contains(lower(x), 'about'))[1], 1, 300) AS evidence FROM h WHERE source_hash = now AND contains(hay, 'why') AND contains(hay, 'about')""")
 def semantic_hits(spark, sf_dir):
     d = _documents(spark, sf_dir)
     none = F.array().cast("array<string>")
@@ -419,11 +482,13 @@ def identifier_terms(spark, sf_dir):
     return p.select("p_partkey", F.explode(terms(name)).alias("term")).filter("term <> ''").groupBy("p_partkey", "term").agg(F.count("*").alias("tf"))
 
 
-@_query("SELECT doc_id, 'completed' AS status, trim(substr(trim(regexp_extract(text, '^[^\\n\\r]*', 0), ' '), 1, 60), ' ') AS summary FROM documents WHERE n_chars < 12000")
+@_query(f"""WITH parts AS ({_CHUNK_SQL}), t AS (SELECT doc_id, {_lines_sql('text')} AS ls FROM documents)
+SELECT p.doc_id, p.idx, p.start_line, p.end_line, 'completed' AS status, trim(substr(trim(t.ls[p.start_line], ' '), 1, 60)) AS summary FROM parts p JOIN t ON t.doc_id = p.doc_id""")
 def enrichment(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").filter("n_chars < 12000").select("doc_id", "text")
+    """Every chunk of every document through a stand-in for a model."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = chunks.with_text(chunks.chunks(docs), docs)
-    return chunks.enrich(parts, _first_line, concurrency=8).select("doc_id", "status", "output.summary")
+    return chunks.enrich(parts, _first_line, concurrency=8).select("doc_id", "idx", "start_line", "end_line", "status", "output.summary")
 
 
 def _first_line(text: str, error: str | None) -> str:
@@ -433,11 +498,3 @@ def _first_line(text: str, error: str | None) -> str:
     if error is None:
         return "no object"
     return "so: " + json.dumps({"summary": text.split("\n")[0].strip(" ")[:60], "topics": [], "rules": []})
-
-
-@_query()
-def enrichment_chunks(spark, sf_dir):
-    """Every chunk of every document, long ones and those without n_chars too; ``enrichment`` is the part that its SQL states."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = chunks.with_text(chunks.chunks(docs), docs)
-    return chunks.enrich(parts, _first_line, concurrency=8).select("doc_id", "idx", "start_line", "end_line", "status", "output.summary")

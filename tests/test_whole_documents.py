@@ -38,6 +38,6 @@ def test_every_chunk_of_every_document_is_enriched(spark, tmp_path):
     texts = {1: "short\ntext", 2: "\n".join(f" line {k} " + "x" * (k % 300) for k in range(400)), 3: "head\n" + "y" * 13_000 + "\ntail", 4: "z" * 12_000, 5: "no size"}
     rows = [(i, t, None if i == 5 else len(t)) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((r.doc_id, r.idx, r.start_line, r.end_line, r.summary) for r in queries.QUERIES["enrichment_chunks"](spark, str(tmp_path)).filter("status = 'completed'").collect())
+    got = sorted((r.doc_id, r.idx, r.start_line, r.end_line, r.summary) for r in queries.QUERIES["enrichment"](spark, str(tmp_path)).filter("status = 'completed'").collect())
     want = [(i, *c) for i, t in texts.items() for c in brute_chunks(t)]
     assert got == want and len([w for w in want if w[0] == 2]) > 3
