@@ -149,6 +149,7 @@ SECRETS = {
     "slack-token": r"\bxox[baprs]-[A-Za-z0-9-]{20,}\b",
     "aws-key": r"\bAKIA[0-9A-Z]{16}\b",
 }
+#: What labels a secret, and values that stand for none.
 LABELED = r"""(?i)\b(?:password|passwd|secret|api[_-]?key|access[_-]?key)\s*[:=]\s*["']?([^\s"'#]+)"""
 PLACEHOLDER = r"(?i)^(your[_-]?.*|xxx+|placeholder|example|changeme|<[^>]+>|\$\{.*\})$"
 

@@ -17,7 +17,7 @@ CJK = "㐀-鿿豈-﫿"
 RUN = f"[{CJK}]+|[A-Za-z0-9_][A-Za-z0-9_.]*"
 COMPOUND = "[._]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 QUERY_MAX = 512
-#: A text without these has neither CJK runs nor identifiers with parts: its runs are its terms.
+#: Fixed values, the boundaries above written as what occurs at them: a text without these has neither CJK runs nor identifiers with parts: its runs are its terms.
 SPECIAL = f"[{CJK}_]|[A-Za-z0-9]\\.[A-Za-z0-9.]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 
 
@@ -55,6 +55,7 @@ def terms(text: Column) -> Column:
     return F.when(text.rlike(SPECIAL), whole).otherwise(plain)
 
 
+#: The same changes of case as places between characters.
 _SPLIT_CAMEL = re.compile("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 

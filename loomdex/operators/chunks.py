@@ -118,8 +118,8 @@ def merge_outputs(parts: DataFrame, docs: DataFrame, key: str = "doc_id") -> Dat
     )
 
 
-#: The headings and fillers of a derived note.
-NOTE_TEXTS = {"summary": "## 内容与适用", "rules": "## 规则、约束与例外", "names": "## 别名与常见问法", "aliases": "别名：", "questions": "问法（用于检索，不是已支持功能清单）：", "none": "（无）"}
+#: The headings and fillers of a derived note.
+NOTE_TEXTS = {"summary": "## Summary", "rules": "## Rules found in the source", "names": "## Other names and questions", "aliases": "Names:", "questions": "Questions that lead here:", "none": "(none)"}
 
 
 def derived_body(summary: Column, rules: Column, aliases: Column, questions: Column) -> Column:
@@ -127,7 +127,7 @@ def derived_body(summary: Column, rules: Column, aliases: Column, questions: Col
     none = F.lit(NOTE_TEXTS["none"])
     listed = lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(none)
     bullets = lambda x: listed(F.transform(x, lambda y: F.concat(F.lit("- "), y)))
-    told = F.transform(rules, lambda r: F.concat(F.lit("- "), r["text"], F.format_string("（L%d-%d）\n  ", r["start_line"], r["end_line"]), r["excerpt"]))
+    told = F.transform(rules, lambda r: F.concat(F.lit("- "), r["text"], F.format_string(" (lines %d to %d)\n  ", r["start_line"], r["end_line"]), r["excerpt"]))
     title = lambda k: F.lit(NOTE_TEXTS[k])
     parts = [title("summary"), F.when(summary != "", summary).otherwise(none), F.lit(""), title("rules"), listed(told), F.lit(""), title("names"), title("aliases"), bullets(aliases), F.lit(""), title("questions"), bullets(questions)]
     return F.concat_ws("\n", *parts)
