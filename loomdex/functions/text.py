@@ -141,6 +141,23 @@ def is_managed(path: Column, state_folder: str = STATE_FOLDER) -> Column:
     return clean_relative(path).rlike(f"^(digests|lessons|{re.escape(state_folder)})(/|$)")
 
 
+def is_original_text_file(path: Column, state_folder: str = STATE_FOLDER) -> Column:
+    """A text file that is neither a note of ours nor derived from one."""
+    return is_text_file(path) & ~is_managed(path, state_folder)
+
+
+#: What the end of a partly read file says.
+READ_FOOTER = r"\[Showing lines |more lines in file\. Use offset="
+
+
+def is_truncated_read(text: Column, offset: Column | None = None, flagged: Column | None = None) -> Column:
+    """Whether a tool's reading of a file isn't the whole file: it says so, began after line 1, or ends in a footer."""
+    out = text.rlike(READ_FOOTER)
+    if offset is not None:
+        out = F.coalesce(offset > 1, F.lit(False)) | out
+    return out if flagged is None else F.coalesce(flagged, F.lit(False)) | out
+
+
 #: Secrets by kind in the order in which they are looked for.
 SECRETS = {
     "private-key": r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",

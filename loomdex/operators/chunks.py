@@ -8,13 +8,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_lines
 from ..session import importable, spread
+from ..sources.folder import Folder, lock_file
 
 MAX_CHARS = 12_000
+#: Change these with the prompt or with the rules of cutting: older answers are then no longer reused.
 PROMPT_VERSION = CHUNK_VERSION = 1
 RULE = "struct<text:string,start_line:int,end_line:int,excerpt:string>"
 OUTPUT = f"struct<summary:string,topics:array<string>,aliases:array<string>,questions:array<string>,rules:array<{RULE}>>"
@@ -190,56 +192,86 @@ def ask(complete: Complete, text: str, start_line: int, end_line: int, retries:
     return "failed", error, None, 1 + retries, threw
 
 
-def enrich(parts: DataFrame, complete: Complete, retries: int = 2, concurrency: int = 8) -> DataFrame:
-    """Chunks (with text) through a model: status, error, output, requests, threw.  ``concurrency`` calls run at once."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name not in ("status", "output", "error", "requests", "threw"))
-    keep = [f.name for f in parts.schema if f.name not in ("status", "output", "error", "requests", "threw")]
+def enrich(parts: DataFrame, complete: Complete, retries: int = 2, concurrency: int = 8, pause_after: int | None = None) -> DataFrame:
+    """Chunks (with text) through a model: status, error, output, requests, threw.  ``concurrency`` calls run at once.
+
+    Once ``pause_after`` chunks in a row whose calls failed themselves, a task leaves the rest of its chunks pending.
+    """
+    own = ("status", "output", "error", "requests", "threw")
+    keep = [f.name for f in parts.schema if f.name not in own]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name not in own)
     importable(parts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failing = 0
         for batch in batches:
-            rows = [ask(complete, r.text, r.start_line, r.end_line, retries) for r in batch.itertuples()]
+            rows = []
+            for r in batch.itertuples():
+                if pause_after and failing >= pause_after:
+                    rows.append(("pending", None, None, 0, False))
+                    continue
+                rows.append(ask(complete, r.text, r.start_line, r.end_line, retries))
+                failing = failing + 1 if rows[-1][4] else 0
             more = pd.DataFrame(rows, columns=["status", "error", "output", "requests", "threw"], index=batch.index)
             yield pd.concat([batch[keep], more], axis=1)
 
     return parts.repartition(concurrency).mapInPandas(run, f"{schema}, status string, error string, output {OUTPUT}, requests int, threw boolean")
 
 
+class JobBusy(RuntimeError):
+    pass
+
+
 class Job:
-    """A resumable job: each micro-batch is one written table, so what is done is never asked again.
+    """A resumable job over chunks; what is completed is never asked again.
 
-    ``pause_after`` chunks in a row whose calls failed themselves, counted over whole micro-batches, pause the job.
+    ``run`` writes the chunks that are left once, in order and cut into slices of ``batch``; each slice is one
+    pass over its own rows, and its results are a written table, the checkpoint.  Answers to other prompts or of
+    other cuts lie in another folder and aren't reused.  ``pause_after`` chunks in a row whose calls failed themselves
+    pause the job, within a task at once.  One run at a time holds the job's lock.
     """
 
-    def __init__(self, folder: str, complete: Complete, retries: int = 2, concurrency: int = 8, batch: int = 256, pause_after: int = 2):
-        self.folder, self.complete, self.retries, self.concurrency, self.batch, self.pause_after = folder.rstrip("/"), complete, min(8, max(0, retries)), min(32, max(1, concurrency)), batch, pause_after
+    def __init__(self, folder: str, complete: Complete, retries: int = 2, concurrency: int = 8, batch: int = 256, pause_after: int = 2, full: bool = False):
+        self.folder = f"{folder.rstrip('/')}/prompt={PROMPT_VERSION}-chunk={CHUNK_VERSION}"
+        self.complete, self.retries, self.concurrency, self.batch, self.pause_after, self.full = complete, min(8, max(0, retries)), min(32, max(1, concurrency)), batch, pause_after, full
         self.paused = self.stopped = False
 
-    def results(self, parts: DataFrame) -> DataFrame | None:
-        spark = parts.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return spark.read.option("recursiveFileLookup", "true").parquet(self.folder) if fs.exists(path) else None
+    def results(self, spark: SparkSession) -> DataFrame | None:
+        """All results so far, a row for each time that a chunk was asked."""
+        folder = Folder(spark, self.folder)
+        return spark.read.option("recursiveFileLookup", "true").parquet(folder.path("results")) if folder.names("results") else None
 
-    def run(self, parts: DataFrame, key: list[str]) -> DataFrame:
-        """``parts`` with text; ``key`` names a chunk.  Returns each chunk's latest result, or pending ones."""
-        failing, tried = 0, []
-        while not (self.paused or self.stopped):
-            done = self.results(parts)
-            left = parts if done is None else parts.join(done.filter("status = 'completed' or not threw").select(*key), key, "left_anti")
-            if tried:  # what failed in this run waits for the next one
-                left = left.join(parts.sparkSession.read.parquet(*tried).select(*key), key, "left_anti")
-            now = left.orderBy(*key).limit(self.batch)
-            if now.isEmpty():
-                break
-            path = f"{self.folder}/batch-{time.time_ns()}"
-            enrich(now, self.complete, self.retries, self.concurrency).write.parquet(path)
-            tried.append(path)
-            r = parts.sparkSession.read.parquet(path).agg(F.count_if("threw").alias("threw"), F.count_if(F.col("status") == "completed").alias("done")).first()
-            failing = failing + r.threw if not r.done else 0
-            self.paused = failing >= self.pause_after
-        done = self.results(parts)
+    def state(self, parts: DataFrame, key: list[str]) -> DataFrame:
+        """``parts`` with the status and output of each chunk."""
+        done = self.results(parts.sparkSession)
         if done is None:
             return parts.withColumns({"status": F.lit("pending"), "output": F.lit(None).cast(OUTPUT)})
         latest = done.groupBy(*key).agg(F.max_by(F.struct("status", "output"), F.col("status") == "completed").alias("_r"))
         return parts.join(latest, key, "left").select("*", F.coalesce("_r.status", F.lit("pending")).alias("status"), F.col("_r.output").alias("output")).drop("_r")
+
+    def run(self, parts: DataFrame, key: list[str]) -> DataFrame:
+        """``parts`` with text; ``key`` names a chunk.  Returns each chunk's latest result, or pending ones."""
+        spark, folder = parts.sparkSession, Folder(parts.sparkSession, self.folder)
+        with lock_file(folder, "lock", JobBusy):
+            if self.full:
+                folder.delete("results")
+            done = self.results(spark)
+            left = parts if done is None else parts.join(done.filter("status = 'completed'").select(*key).distinct(), key, "left_anti")
+            name = f"{time.time_ns()}"
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            ordered = left.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())
+            row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+            sliced = ordered.withColumn("_slice", F.concat_ws("-", F.lpad(F.shiftright("_at", 33).cast("string"), 9, "0"), F.lpad(F.floor(row / self.batch).cast("string"), 12, "0")))
+            sliced.drop("_at").write.partitionBy("_slice").parquet(folder.path("todo", name))
+            failing = 0
+            for part in [x for x in folder.names("todo", name) if x.startswith("_slice=")]:
+                if self.paused or self.stopped:
+                    break
+                rows = spark.read.schema(left.schema).parquet(folder.path("todo", name, part))
+                path = folder.path("results", f"{name}-{part.split('=')[1]}")
+                enrich(rows, self.complete, self.retries, self.concurrency, self.pause_after).filter("status <> 'pending'").write.parquet(path)
+                r = spark.read.parquet(path).agg(F.count_if("threw").alias("threw"), F.count_if(F.col("status") == "completed").alias("done")).first()
+                failing = failing + r.threw if not r.done else 0
+                self.paused = failing >= self.pause_after
+            folder.delete("todo", name)
+        return self.state(parts, key)

@@ -190,17 +190,24 @@ def semantic_extra(topics: Column, aliases: Column, questions: Column, rules: Co
     return F.array_join(F.concat(*(F.coalesce(x, none) for x in (topics, aliases, questions, told))), "\n")
 
 
-def semantic_hits(records: DataFrame, docs: DataFrame, query: str) -> DataFrame:
-    """Records of current documents whose fields hold all words, with the first field that holds one."""
+def semantic_matches(records: DataFrame, query: str) -> DataFrame:
+    """Records whose fields hold all words, with the first field that holds one as evidence and a score of 1."""
     words = [w.lower() for w in query_terms(query.replace('"', " "))]
     hay = F.lower(fold_space(semantic_extra(*(F.col(c) for c in ("topics", "aliases", "questions", "rules")))))
     keep = F.lit(True)
     for w in words:
         keep = keep & F.contains(hay, F.lit(w))
+    return records.filter(keep).withColumn("evidence", semantic_evidence(words)).withColumn("score", F.lit(1.0))
+
+
+def semantic_evidence(words: list[str]) -> Column:
+    """The first of a record's fields that holds one of the words, at most 300 characters."""
     none = F.array().cast("array<string>")
     fields = F.concat(F.coalesce("topics", none), F.coalesce("aliases", none), F.coalesce("questions", none), F.coalesce(F.transform("rules", lambda r: r["text"]), none))
     held = lambda f: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(f), w))
-    current = records.filter(keep).join(docs.select("path", "source_hash"), ["path", "source_hash"], "left_semi")
-    return current.withColumn("evidence", F.substring(F.get(F.filter(fields, held), F.lit(0)), 1, 300)).withColumn("score", F.lit(1.0))
+    return F.substring(F.get(F.filter(fields, held), F.lit(0)), 1, 300)
 
 
+def semantic_hits(records: DataFrame, docs: DataFrame, query: str) -> DataFrame:
+    """Matches whose document still has the hash that the record was made of."""
+    return semantic_matches(records, query).join(docs.select("path", "source_hash"), ["path", "source_hash"], "left_semi")

@@ -1,8 +1,10 @@
-"""What sessions need to know of this package, and how small inputs are spread."""
+"""What sessions need to know of this package, how small inputs are spread, and where intermediate tables go."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,20 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder that ``spark.checkpoint.dir`` names; it is removed when the JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir()
+        if not base:  # only local sessions, such as tests, come here
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+            spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/loomdex-{uuid.uuid4().hex}/{name}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target.getParent())
+    return path

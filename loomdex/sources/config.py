@@ -244,3 +244,44 @@ def workspace_project(config: Config, cwd: str) -> str | None:
     best = {i for n, i in around if n == max(around)[0]}
     _need(len(best) < 2, "the folder belongs to several projects")
     return best.pop() if best else None
+
+
+def visible_roots(config: Config, project_ids: list[str] = (), include_shared: bool = False) -> int:
+    """How many roots a search can reach: with isolation those with a binding of the projects, or a shared one if asked for."""
+    if not config.enabled:
+        return 0
+    usable = {r.name for r in config.roots if r.exists or r.writable}
+    if not config.isolation:
+        return len(usable)
+    wanted = set(project_ids)
+    seen = lambda s: include_shared if s.kind == "shared" else s.kind == "projects" and not wanted.isdisjoint(s.projects)
+    return len({b.root for b in config.bindings if b.root in usable and seen(b.scope)})
+
+
+def project_argument(config: Config, raw: str) -> str:
+    """``auto``, ``shared`` or the id of a project, as given to a command."""
+    token = raw.strip()
+    _need(token, "a project is needed")
+    _need(config.isolation, "projects aren't kept apart")
+    _need(token in ("auto", "shared") or token in {p.id for p in config.projects}, f"there is no project {token}")
+    return token
+
+
+def scope_argument(config: Config, raw: str) -> list[str]:
+    """Further projects to search in: none for ``current``, ``*`` for ``all``, else a list of ids."""
+    token = raw.strip()
+    _need(token, "a scope is needed")
+    _need(config.isolation, "projects aren't kept apart")
+    if token in ("current", "all"):
+        return ["*"] if token == "all" else []
+    ids = [x for x in re.split(r"[,\s]+", token) if x]
+    for x in ids:
+        _need(x in {p.id for p in config.projects}, f"there is no project {x}")
+    return ids
+
+
+def search_ids(config: Config, project: str | None, extra: list[str] = ()) -> list[str]:
+    """The projects that a search sees: the current one and those asked for."""
+    if "*" in extra:
+        return [p.id for p in config.projects]
+    return list(dict.fromkeys([*([project] if project and project != "shared" else []), *extra]))

@@ -127,10 +127,15 @@ def read_contents(files: DataFrame, partitions: int | None = None) -> DataFrame:
     return read.withColumn("reason", F.when(F.col("content").isNull(), F.lit("unreadable")).otherwise(skip_reason(F.col("content"))))
 
 
+def read_texts(files: DataFrame) -> DataFrame:
+    """Files with text and source_hash, or with the reason why they have none."""
+    read, good = read_contents(files), F.col("reason").isNull()
+    return read.withColumns({"text": F.when(good, F.decode("content", "UTF-8")), "source_hash": F.when(good, F.sha2("content", 256))}).drop("content")
+
+
 def text_files(files: DataFrame) -> DataFrame:
     """Readable files with text and source_hash."""
-    good = read_contents(files).filter("reason is null")
-    return good.withColumns({"text": F.decode("content", "UTF-8"), "source_hash": F.sha2("content", 256)}).drop("reason")
+    return read_texts(files).filter("reason is null").drop("reason")
 
 
 def within_bytes(files: DataFrame, most: int, order: str = "rel_path") -> DataFrame:

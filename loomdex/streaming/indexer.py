@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.postings import postings
-from ..sources.index_store import IndexStore
+from ..sources.index_store import IndexBusy, IndexStore
 
 
 def stream_postings(docs: DataFrame) -> DataFrame:
@@ -44,6 +46,30 @@ def finish(store: IndexStore) -> None:
     store.commit(None, None, complete=True)
 
 
+def poll(refresh: Callable[[str], dict], roots: Callable[[], list[str]], seconds: float = 60.0, stop: Callable[[], bool] = lambda: False, on_progress: Callable[[str, dict], None] | None = None) -> int:
+    """Walk the roots again and again, so that edits and deletions are seen as well as new files; the number of rounds.
+
+    ``roots`` is asked anew in each round, so a changed configuration takes effect.  A root that fails is left to the
+    next round.  ``stop`` is asked between roots and while waiting.
+    """
+    rounds = 0
+    while not stop():
+        began = time.monotonic()
+        for name in roots():
+            if stop():
+                return rounds
+            try:
+                counts = refresh(name)
+            except (IndexBusy, OSError, PySparkException) as e:
+                counts = {"error": str(e)}
+            if on_progress:
+                on_progress(name, counts)
+        rounds += 1
+        while not stop() and time.monotonic() - began < seconds:
+            time.sleep(min(0.2, seconds))
+    return rounds
+
+
 READS = "call_id string, path string, hash string, matched boolean"
 
 

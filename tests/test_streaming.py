@@ -25,7 +25,7 @@ def as_docs(stream):
 
 
 def test_an_index_follows_a_stream_and_survives_a_restart(spark, tmp_path):
-    store = IndexStore(spark, str(tmp_path / "index"), "s", buckets=2)
+    store = IndexStore(spark, str(tmp_path / "index"), "s", per_bucket=1)
     source = f"{tmp_path}/in"
     put(source, "1.json", [{"path": "a", "v": 1, "text": "old words"}, {"path": "a", "v": 2, "text": "new words"}, {"path": "b", "v": 1, "text": "words"}])
     stream = lambda: as_docs(spark.readStream.schema("path string, v int, text string").json(source))
