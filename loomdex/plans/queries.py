@@ -9,7 +9,9 @@ from ..functions import text as tx
 from ..functions.tokens import terms
 from ..operators import chunks, notes, ownership, search
 from ..operators.postings import document_frequencies, postings
+from ..session import scratch_path
 from ..sources import files
+from ..sources.index_store import DOCS, IndexStore
 
 QUERY, BOOSTED, PARTIAL, PHRASE, SCAN = "thand nder inea", "src3 thand de", "that the zzzz", '"of the" that', "thand the src1"
 _CJK = r"[\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
@@ -147,6 +149,67 @@ def phrase_search(spark, sf_dir):
     return _ranked(search.has_phrases(found, ["of the"]))
 
 
+def _as_docs(d: DataFrame) -> DataFrame:
+    """Documents (doc_id, text, rel_path, path) as rows of an index."""
+    given = {"doc_id": F.col("doc_id").cast("string"), "rel_path": F.col("rel_path"), "path": F.col("path"), "kind": F.lit("original"), "title": tx.stem(F.col("rel_path")), "source_hash": F.sha2("text", 256)}
+    return d.select(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (f.split(" ", 1) for f in DOCS.split(", "))))
+
+
+def _committed(store: IndexStore, d: DataFrame, deletes: DataFrame | None = None):
+    return store.commit(_as_docs(d), postings(d.select(F.col("doc_id").cast("string").alias("doc_id"), "text")), deletes)
+
+
+def _index_ranked(store: IndexStore, generation) -> DataFrame:
+    hits = store.get_postings(search.wanted_terms(QUERY), generation.generation)
+    return _ranked(search.rank(hits, QUERY, n_docs=generation.doc_count, boost=False, with_lines=False)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS))
+def index_search(spark, sf_dir):
+    """Ranked search that reads the buckets of the query's terms from an index in Parquet."""
+    store = IndexStore(spark, scratch_path(spark, "index"), "kb")
+    return _index_ranked(store, _committed(store, _documents(spark, sf_dir)))
+
+
+_UPDATED_SQL = "documents AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'thand nder ' || text || ' inea' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 50 = 0)"
+
+
+def _updated(spark, sf_dir) -> tuple[IndexStore, list]:
+    """An index of all documents, then a commit that changes some of them and deletes others."""
+    d = _documents(spark, sf_dir)
+    store = IndexStore(spark, scratch_path(spark, "index"), "kb")
+    first = _committed(store, d)
+    changed = d.filter("doc_id % 50 = 0").withColumn("text", F.concat(F.lit("thand nder "), "text", F.lit(" inea")))
+    second = _committed(store, changed, d.filter("doc_id % 7 = 0 and doc_id % 50 <> 0").select(F.col("doc_id").cast("string").alias("doc_id")))
+    return store, [first, second]
+
+
+@_query(f"{_rank_sql(_UPDATED_SQL + ', ' + _postings_sql(_BODY_SQL), _GROUPS)}")
+def index_update(spark, sf_dir):
+    """The same search after a commit that wrote one small segment."""
+    store, generations = _updated(spark, sf_dir)
+    return _index_ranked(store, generations[1])
+
+
+@_query(_rank_sql(_postings_sql(_BODY_SQL), _GROUPS))
+def index_time_travel(spark, sf_dir):
+    """The same search at the generation before that commit."""
+    store, generations = _updated(spark, sf_dir)
+    return _index_ranked(store, store.generation(generations[0].generation))
+
+
+_CJK_LETTERS = "".join(chr(0x4E00 + 7 * k) for k in range(26))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@_query(f"""WITH {_postings_sql(f"SELECT doc_id, 'body' AS field, 1 AS line, translate(lower(text), '{_LETTERS}', '{_CJK_LETTERS}') AS t FROM documents")}
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term""")
+def cjk_terms(spark, sf_dir):
+    """Terms of texts in CJK characters: each of them and each pair within a run."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), _LETTERS, _CJK_LETTERS).alias("text"))
+    return postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @_query("""WITH h AS (SELECT doc_id, lower(source || '/' || doc_id || '.txt') AS head, lower(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS body FROM documents)
 SELECT doc_id, CAST(contains(head, 'thand') AS INTEGER) + CAST(contains(head, 'the') AS INTEGER) + CAST(contains(head, 'src1') AS INTEGER) AS path_score FROM h
 WHERE (contains(head, 'thand') OR contains(body, 'thand')) AND (contains(head, 'the') OR contains(body, 'the')) AND (contains(head, 'src1') OR contains(body, 'src1'))""")
