@@ -2,13 +2,14 @@
 
 Scratch tables are Parquet folders below ``spark.checkpoint.dir``, the folder that the driver
 and all executors share.  They cut lineage (a lost executor re-reads the table instead of
-re-running Python) and are removed when the session's JVM ends.
+re-running Python).  Steps that write what they make remove the tables they needed for it (``forget``);
+the rest is removed when the session's JVM ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable, spread
+from ..session import importable, scratch_path, spread
 
 #: Rows and bytes in one Arrow batch; both bound a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,28 +30,45 @@ def prepare(spark: SparkSession) -> None:
     importable(spark)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared folder; ``spark.checkpoint.dir`` decides which that is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:  # only local sessions, such as tests, come here
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="loomdex-")
-            spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/loomdex-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target.getParent())
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.tables.append((path, out))
+    return out
+
+
+class _Made(threading.local):
+    def __init__(self):
+        self.tables: list[tuple[str, DataFrame]] = []
+
+
+#: Scratch tables of this thread in the order in which they were written.
+_made = _Made()
+
+
+def made() -> int:
+    """A mark: how many scratch tables there are."""
+    return len(_made.tables)
+
+
+def forget(since: int, keep: DataFrame | None = None) -> None:
+    """Remove the scratch tables written since the mark, but for ``keep``; only when nothing lazy reads them any more."""
+    for path, df in _made.tables[since:]:
+        if df is not keep:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _made.tables[since:] = [x for x in _made.tables[since:] if x[1] is keep]
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system, since it lives on and others start beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -217,6 +217,7 @@ def _pieces(path: str, separator: int, capacity: int, with_ids: bool):
                         ids.append(piece)
             out = [pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types, strict=True)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.binary())], names=[*_SCHEMA.names, "ids"]) if with_ids else pa.RecordBatch.from_arrays(out, schema=_SCHEMA)
+        common.give_back()
 
     return run
 

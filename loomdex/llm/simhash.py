@@ -18,7 +18,8 @@ fingerprints have no bound that a broadcast could rely on.
 
 Components of the links: alternating large-star and small-star steps, each from a written table.
 
-Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated
+Defined results: null and empty texts have fingerprint zero and are linked like any other; a bit set in exactly half of
+the shingles is 0; very long texts are hashed whole, in memory of about ten times their size; repeated
 rows each get their row; a null doc_id never becomes a component_id, which is null if a component
 has no other; extra columns are ignored; an empty table gives no rows.
 """
@@ -58,11 +59,10 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
     return [digest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
+def fingerprints_of(hashes: list[list[int]]) -> np.ndarray:
     """uint64 fingerprints.  Bits are counted eight at a time in the bytes of 64-bit sums of up to 255 hashes."""
-    hashes = [shingle_hashes(x, words) for x in texts]
     n = np.array([len(x) for x in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
@@ -80,6 +80,10 @@ def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
     return out
 
 
+def fingerprints(texts: list[str | None], words: int = WORDS) -> np.ndarray:
+    return fingerprints_of([shingle_hashes(x, words) for x in texts])
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint's 64 bits as a signed number."""
@@ -126,9 +130,12 @@ class BKTree:
         return found
 
 
-def links(left: list[int], right: list[int] | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(member, smallest member of its class) from the links within ``left``, or of ``right`` with ``left``."""
-    tree, members, parent = BKTree(), [], []
+def links(left: list[int], right: list[int] | None, radius: int = RADIUS, edges: bool = False) -> list[tuple[int, int]]:
+    """(member, smallest member of its class) from the links within ``left``, or of ``right`` with ``left``.
+
+    With ``edges``: links that make up the same classes, each a pair within the radius.
+    """
+    tree, members, parent, made = BKTree(), [], [], []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -140,6 +147,7 @@ def links(left: list[int], right: list[int] | None, radius: int = RADIUS) -> lis
         for j in found:
             a, b = root(i), root(j)
             if a != b:
+                made.append((members[i], members[j]))
                 if members[a] < members[b]:
                     a, b = b, a
                 parent[a] = b
@@ -154,7 +162,7 @@ def links(left: list[int], right: list[int] | None, radius: int = RADIUS) -> lis
         parent.append(len(members))
         members.append(x)
         join(len(members) - 1, tree.near(x, radius))
-    return [(members[i], members[root(i)]) for i in range(len(members)) if root(i) != i]
+    return made if edges else [(members[i], members[root(i)]) for i in range(len(members)) if root(i) != i]
 
 
 def tables_for(nodes: int, radius: int = RADIUS, per_shard: int = SHARD // 2) -> list[list[tuple[int, int]]]:
@@ -185,14 +193,14 @@ def _shard_keys(tables: list[list[tuple[int, int]]]):
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _link_groups(radius: int):
+def _link_groups(radius: int, edges: bool):
     """Rows come sorted by (shard, one, two); a group is a shard, or two chunks of a large one."""
 
     def solve(rows) -> Iterator[tuple[int, int]]:
         fp, chunk, (_, one, two) = rows[0], rows[1], rows[2]
         if one == two:
-            return links(fp, None, radius)
-        return links([f for f, c in zip(fp, chunk) if c == one], [f for f, c in zip(fp, chunk) if c == two], radius)
+            return links(fp, None, radius, edges)
+        return links([f for f, c in zip(fp, chunk) if c == one], [f for f, c in zip(fp, chunk) if c == two], radius, edges)
 
     def run(batches):
         key, fps, chunks = None, [], []
@@ -222,8 +230,11 @@ def _link_groups(radius: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) whose classes are those of all links between the distinct values ``nodes.fp``."""
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD, edges: bool = False) -> DataFrame:
+    """Links (a, b) whose classes are those of all links between the distinct values ``nodes.fp``.
+
+    With ``edges`` each of them is a pair within the radius; else b may be reached from a by several.
+    """
     tables = tables_for(nodes.count(), radius, shard // 2)
     members = nodes.select("fp", F.explode(_shard_keys(tables)).alias("shard"))
     large = members.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > shard)
@@ -232,7 +243,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = dealt.select("shard", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "fp", "chunk")
     groups = groups.repartition(common.partitions_for(nodes), "shard", "one", "two").sortWithinPartitions("shard", "one", "two")
-    return groups.mapInArrow(_link_groups(radius), "a long, b long")
+    return groups.mapInArrow(_link_groups(radius, edges), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,6 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star by turns, until a step changes nothing.  Each step is an aggregation
     with map-side combine and a join that can be split where one node has many links.
     """
+    mark = common.made()
     edges = common.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before, now = None, sign(edges)
@@ -252,6 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.materialise(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        common.forget(mark, edges)
         before, now = now, sign(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -271,20 +284,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     common.prepare(docs.sparkSession)
     hashed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text).cast("string")).alias("fp"))
     hashed = common.materialise(hashed, "hashed")
-    found = hashed.join(component_of(hashed, F.col("doc_id"), radius), "fp")
+    # Written, so that the join's sides are both shuffled and a hot fingerprint's rows can be split among tasks.
+    found = hashed.join(common.materialise(component_of(hashed, F.col("doc_id"), radius), "component-of"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
 
-
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
-
-    A null doc_id comes last; among repeated rows the first of the written table stays.
-    """
-    common.prepare(docs.sparkSession)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), fingerprint(F.col(f"`{text}`").cast("string")).alias("fp"))
-    whole = common.materialise(whole.withColumn("at", F.monotonically_increasing_id()), "hashed-rows")
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("at").alias("at"))
-    narrow = whole.select("id", "at", "fp")
-    dropped = narrow.join(component_of(narrow, order, radius), "fp").filter(F.col("at") != F.col("best.at")).select("at")
-    dropped = common.materialise(dropped, "dropped")  # written, so its size is known when the join is planned
-    return whole.join(dropped, "at", "left_anti").select("row.*")

@@ -10,7 +10,7 @@ from loomdex.llm import quality_classifier as qc
 from loomdex.llm import quality_rules as qr
 
 from .test_quality_rules import brute
-from .test_simhash import brute_components
+from .test_near_copies import brute_classes
 from .texts import SCHEMA, frame
 
 SF = "/root/testdata/sf0.001"
@@ -27,23 +27,28 @@ def bins(text):
     return [share(symbols, chars), share((text or "").count("!"), chars), share(repeats, n), share(dups, len(lines)), share(chars, n, 40)]
 
 
+def brute_fences(own):
+    """Low and high of each rule, by sorting the bins of a group's documents."""
+    out = []
+    for k, (bottom, top) in enumerate(qr.RULES.values()):
+        values = sorted(b[k] for b in own)
+        at = lambda p: values[-(-len(values) * p // 100) - 1]
+        low = at(bottom) - max(2 * (at(50) - at(bottom)), 2) if bottom else -1
+        out.append((low, at(top) + max(2 * (at(top) - at(50)), 2)))
+    return out
+
+
 def brute_rules(rows):
-    """Rows that the rules keep: quartiles by sorting each group."""
+    """Rows that the rules keep: percentiles by sorting each group."""
     groups = defaultdict(list)
     for r in rows:
-        for key in ((r.lang, r.source), (r.lang,), ()):
-            groups[key].append(bins(r.text))
+        if not brute(r.text)[5]:
+            for key in ((r.lang, r.source), (r.lang,), ()):
+                groups[key].append(bins(r.text))
     kept = []
     for r in rows:
         key = next((k for k in ((r.lang, r.source), (r.lang,), ()) if len(groups[k]) >= qr.LEAST), ())
-        good = not brute(r.text)[5]
-        for k, (slack, both) in enumerate(qr.RULES.values()):
-            values = sorted(b[k] for b in groups[key])
-            at = lambda p: values[-(-len(values) * p // 100) - 1]
-            reach = max(3 * (at(75) - at(25)), slack)
-            own = bins(r.text)[k]
-            good = good and own <= at(75) + reach and (not both or own >= at(25) - reach)
-        if good:
+        if not brute(r.text)[5] and all(low <= b <= high for b, (low, high) in zip(bins(r.text), brute_fences(groups[key]), strict=True)):
             kept.append(r)
     return kept
 
@@ -64,8 +69,8 @@ def test_stages_match_brute_force(spark, edge):
 
     third = stages["simhash_dedup"](spark, docs, SF)
     got = third.collect()
-    want = brute_components([(r.doc_id, r.text) for r in rows])
-    assert {r.doc_id for r in got if r.doc_id is not None} == {c for _, _, c in want if c is not None}
+    ordered = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    assert Counter(r.doc_id for r in got) == Counter(ordered[k].doc_id for k in set(brute_classes([r.text for r in ordered])))
     assert not Counter(map(row, got)) - Counter(map(row, rows))
     for out in (first, second, third):
         assert out.schema == docs.schema
@@ -92,3 +97,15 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_runs_leave_their_stages_tables_only(spark):
+    """What a stage writes on its way goes once its result is written; the last stage's tables are read by the result."""
+    from loomdex.llm import common
+
+    mark = common.made()
+    out = corpus_pipeline.run(spark, SF)
+    names = [path.rsplit("/", 1)[1] for path, _ in common._made.tables[mark:]]
+    assert names == ["quality_classifier", "quality_rules", "simhash_dedup", "packing-pieces", "packing-ranked"] and out.count() > 0
+    common.forget(mark)
+    assert common.made() == mark

@@ -6,7 +6,7 @@ import xxhash
 
 from loomdex.llm import simhash
 
-from .texts import PROSE, SCHEMA, frame
+from .texts import SCHEMA, frame
 
 
 def brute_fingerprint(text):
@@ -98,17 +98,16 @@ def test_chain_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
-    df = frame(spark)
-    out = simhash.keep_one(df)
-    assert out.schema.fieldNames() == df.schema.fieldNames()
-    rows = out.collect()
-    assert [r.doc_id for r in rows if r.text == PROSE * 3] == [5]
-    assert all(r.score == "clash" for r in rows)
-    assert len(rows) == len({c for _, _, c in brute_components([(r.doc_id, r.text) for r in df.collect()]) if c is not None})
+def test_edges_are_pairs_within_the_radius_and_make_the_same_classes():
+    random.seed(9)
+    centre = random.getrandbits(64)
+    values = sorted({centre ^ sum(1 << b for b in random.sample(range(64), random.randrange(8))) for _ in range(150)})
+    for left, right in ((values, None), (values[:70], values[70:])):
+        made = simhash.links(left, right, edges=True)
+        assert all((a ^ b).bit_count() <= simhash.RADIUS for a, b in made)
+        assert len(made) == len(simhash.links(left, right)) > 10
 
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(empty).count() == 0
