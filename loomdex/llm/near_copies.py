@@ -46,6 +46,8 @@ from .simhash import components, fingerprint_links, fingerprints_of, shingle_has
 WORDS, PERCENT = 5, 80
 #: Rows of a group that one task compares with another chunk, and bits that BK-trees follow.
 CHUNK, RADIUS = 16_384, 4
+#: Groups of more rows are first joined by the nearest of another class.
+LARGE = 64
 #: Bounds of the sample that finds frequent shingles: texts, and shingles kept.  They decide speed only.
 SAMPLE, FREQUENT = 10_000, 65_536
 #: Shingles that a task packs before it sends them on.
@@ -335,9 +337,10 @@ def within_radius(own: DataFrame) -> DataFrame:
 
 
 def across_classes(groups: DataFrame, classes: DataFrame, own: DataFrame, closest: bool) -> DataFrame:
-    """Candidate pairs within groups that still hold several classes; ``closest``: at most one for each row."""
+    """Candidate pairs within groups that still hold several classes; ``closest``: in LARGE ones, at most one for each row."""
     kinds = common.materialise(groups.join(classes, "node", "left").select("sig", "node", "code", F.coalesce("root", "node").alias("kind")), "kinds")
     mixed = kinds.groupBy("sig").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    mixed = mixed.filter(F.col("rows") > LARGE) if closest else mixed
     mixed = common.materialise(mixed.select("sig", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "mixed")  # written, so its size is known
     rows = kinds.join(mixed, "sig").join(own.select("node", "n", "bits"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -77,6 +77,7 @@ def test_frequent_shingles_change_no_result(spark, monkeypatch):
 
 def test_groups_of_several_classes_are_compared_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "CHUNK", 3)
+    monkeypatch.setattr(near_copies, "LARGE", 4)
     monkeypatch.setattr(near_copies, "FREQUENT", 0)
     monkeypatch.setattr(near_copies, "FLUSH", 40)
     texts = some_texts()
