@@ -84,8 +84,10 @@ class ReadRef:
 class Engine:
     """Roots are folders that are mounted on all nodes; what is derived from one lies in its state folder."""
 
-    def __init__(self, spark: SparkSession, config: configs.Config):
+    def __init__(self, spark: SparkSession, config: configs.Config, spread_walk: bool = False):
+        """``spread_walk``: folders are listed by the executors, for roots with millions of files."""
         self.spark, self.config = spark, config
+        self.listing = files.spread_listing if spread_walk else files.listing
         self.refs: dict[str, ReadRef] = {}
 
     @staticmethod
@@ -109,7 +111,7 @@ class Engine:
         root, budget = self.config.root(name), budget or files.Budget()
         other = self.config.writable
         skip = files.skip_inside(root.path, other.path if other else None, root.writable)
-        listed = files.listing(self.spark, name, root.path, budget, skip_inside=skip, exclude=root.exclude).persist()
+        listed = self.listing(self.spark, name, root.path, budget, skip_inside=skip, exclude=root.exclude).persist()
         exports = listed.withColumns({"folder": F.regexp_replace("rel_path", "[^/]*$", ""), "file": F.regexp_extract("rel_path", "[^/]*$", 0)})
         metas = files.text_files(exports.filter(F.col("file").rlike(r"_(readme\.md|info\.json)$")))
         titles = notes.readme_titles(metas.filter(F.col("file").endswith("_readme.md")))
@@ -190,7 +192,7 @@ class Engine:
     def _note_hits(self, root: configs.Root, query: str, project_ids: list[str], report: Report) -> DataFrame:
         """A scan of the notes of a writable root; digests whose source has changed or can't be read are skipped."""
         budget = self.scan_budget()
-        listed = files.listing(self.spark, root.name, root.path, budget, skip_inside=[os.path.join(root.path, STATE_FOLDER)], exclude=root.exclude)
+        listed = self.listing(self.spark, root.name, root.path, budget, skip_inside=[os.path.join(root.path, STATE_FOLDER)], exclude=root.exclude)
         texts = files.text_files(listed.filter(is_ai_note(F.col("rel_path")))).persist()
         meta = notes.note_meta(F.col("text"))
         sources = files.text_files(texts.select(meta["sourcePath"].alias("path")).filter("path is not null").distinct())
@@ -354,7 +356,7 @@ class Engine:
         """A snapshot of a root's documents with their lines.  A truncated walk is never written, and says so."""
         root, budget = self.config.root(name), budget or files.Budget()
         other = self.config.writable
-        listed = files.listing(self.spark, name, root.path, budget, skip_inside=files.skip_inside(root.path, other.path if other else None, root.writable, prepare=True), exclude=root.exclude)
+        listed = self.listing(self.spark, name, root.path, budget, skip_inside=files.skip_inside(root.path, other.path if other else None, root.writable, prepare=True), exclude=root.exclude)
         read = files.read_texts(listed)
         title = choose_title(F.lit(None).cast("string"), F.col("text"), F.col("rel_path")).alias("title")
         docs = read.filter("reason is null").select("path", "rel_path", "source_hash", title, F.array().cast("array<string>").alias("catalog"), note_lines(F.col("text")).alias("lines"))

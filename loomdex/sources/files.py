@@ -1,7 +1,7 @@
 """Listing folders of text and reading what is safe to read.
 
-Listing is the driver's work (names only, within a budget); contents are read by the executors, so the
-folders must be mounted on all of them.
+Listing is the driver's work (names only, within a budget), or for large roots the executors' (``spread_listing``);
+contents are read by the executors, so the folders must be mounted on all of them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FILE_MAX, STATE_FOLDER, TEXT_EXTENSIONS, skip_reason
-from ..session import importable
+from ..session import importable, scratch_path
 
 #: Folders that are never entered, besides the state folder.
 SKIP_FOLDERS = (".git", ".obsidian", "node_modules")
@@ -105,6 +105,67 @@ def listing(spark: SparkSession, name: str, root: str, budget: Budget | None = N
     return spark.createDataFrame(rows, LISTING)
 
 
+_FOUND = "kind string, rel_path string, path string, size long, mtime_ms double, reason string"
+
+
+def _list_folders(base: str, skip_inside: list[str], exclude: list[str]):
+    """For each folder its text files, its folders, what is skipped, and how many entries it has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                try:
+                    entries = sorted(os.scandir(folder), key=lambda e: e.name)
+                except OSError:
+                    rows.append(("skip", None, folder, None, None, "unreadable-folder"))
+                    continue
+                rows.append(("entries", None, folder, len(entries), None, None))
+                for e in entries:
+                    rel = os.path.relpath(e.path, base).replace(os.sep, "/")
+                    if e.is_symlink() or any(inside(e.path, s) for s in skip_inside) or is_excluded(rel, exclude):
+                        continue
+                    if e.is_dir():
+                        if e.name not in SKIP_FOLDERS and e.name != STATE_FOLDER:
+                            rows.append(("folder", rel, e.path, None, None, None))
+                    elif os.path.splitext(e.name)[1].lower() in TEXT_EXTENSIONS and stat.S_ISREG((st := e.stat()).st_mode):
+                        large = st.st_size > FILE_MAX
+                        rows.append(("skip", rel, e.path, None, None, "too-large") if large else ("file", rel, e.path, st.st_size, st.st_mtime_ns / 1e6, None))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _FOUND.split(", ")])
+
+    return run
+
+
+def spread_listing(spark: SparkSession, name: str, root: str, budget: Budget | None = None, skip_inside: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """The same listing made by the executors, a level of folders at a time, each level a written table.
+
+    The driver holds counts only.  The budget is looked at between levels, so a walk may exceed it by one level.
+    """
+    importable(spark)
+    budget, base = budget or Budget(), os.path.realpath(root)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, parts = spark.createDataFrame([(base,)], "path string"), []
+    while not budget.stop():
+        path = scratch_path(spark, "listing")
+        found = folders.repartition(n, "path").mapInPandas(_list_folders(base, list(skip_inside), list(exclude)), _FOUND)
+        found.write.parquet(path)
+        level = spark.read.schema(_FOUND).parquet(path)
+        size = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("size"))), F.lit(0))
+        r = level.agg(size("entries").alias("entries"), size("file").alias("bytes"), F.count("reason").alias("skipped"), F.collect_set("reason").alias("reasons"), F.count_if(F.col("kind") == "folder").alias("folders")).first()
+        budget.entries, budget.bytes, budget.skipped = budget.entries - r.entries, budget.bytes - r.bytes, budget.skipped + r.skipped
+        for reason in sorted(r.reasons):
+            budget.note(reason)
+        parts.append(level.filter("kind = 'file'").select(F.lit(name).alias("root"), "rel_path", "path", "size", "mtime_ms"))
+        folders = level.filter("kind = 'folder'").select("path")
+        if not r.folders:
+            budget.stop()
+            break
+    out = spark.createDataFrame([], LISTING)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         contents = []

@@ -125,6 +125,23 @@ def test_segments_are_small_and_merge(spark, tmp_path):
         s.commit(None, None)
 
 
+def test_executors_list_what_the_driver_lists(spark, engine, tmp_path):
+    root = str(tmp_path / "v")
+    for name in ("deep/er/x.md", "deep/y.TXT", "skip/z.md", ".git/q.md", "deep/no.png", "own/o.md"):
+        write(f"{root}/{name}", "words")
+    write(f"{root}/deep/big.md", "x" * (files.FILE_MAX + 1))
+    os.symlink(f"{root}/a.md", f"{root}/deep/link.md")
+    more = {"skip_inside": [f"{root}/own"], "exclude": ["skip"]}
+    one, two = files.Budget(), files.Budget()
+    want = {tuple(r) for r in files.listing(spark, "v", root, one, **more).collect()}
+    got = {tuple(r) for r in files.spread_listing(spark, "v", root, two, **more).collect()}
+    assert got == want and len(got) == 5 and (one.skipped, one.reasons, one.bytes, one.entries) == (two.skipped, two.reasons, two.bytes, two.entries)
+    small = files.Budget(entries=2)
+    assert files.spread_listing(spark, "v", root, small).count() == 3 and small.truncated and "entries" in small.reasons  # the first level
+    engine.listing = files.spread_listing
+    assert engine.refresh("v")["documents"] == 6 and engine.search("zebra", "v").hits.count() == 2
+
+
 def test_truncated_readings_and_originals(spark):
     df = spark.createDataFrame([("all of it", None, None), ("x [Showing lines 1-20 of 90]", None, None), ("4 more lines in file. Use offset=5", None, None), ("x", 2, None), ("x", 1, None), ("x", None, True)], "t string, offset int, flag boolean")
     got = [r.x for r in df.select(tx.is_truncated_read(F.col("t"), F.col("offset"), F.col("flag")).alias("x")).collect()]
