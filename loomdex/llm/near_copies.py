@@ -359,16 +359,18 @@ def _similar(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def verified(pairs: DataFrame, own: DataFrame, whole: DataFrame, name: str) -> DataFrame:
+def verified(pairs: DataFrame, own: DataFrame, whole: DataFrame, name: str, judged: bool = False) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts are similar enough; a written table.
 
-    Sizes and parities (two to four bits a shingle) drop nearly all others before any text is read.
+    Sizes and parities (two to four bits a shingle) drop nearly all others before any text is read, unless the pairs
+    were ``judged`` by them already.
     """
     pairs = _in_order(pairs).distinct()
-    for c in "ab":
-        pairs = pairs.join(own.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("bits").alias(f"_bits{c}")), c)
-    alike = (100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")) & (F.least("_na", "_nb") > 0)
-    pairs = pairs.filter(alike).filter(_close("_bitsa", "_bitsb", F.col("_na") + F.col("_nb")))
+    if not judged:
+        for c in "ab":
+            pairs = pairs.join(own.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("bits").alias(f"_bits{c}")), c)
+        alike = (100 * F.least("_na", "_nb") >= PERCENT * F.greatest("_na", "_nb")) & (F.least("_na", "_nb") > 0)
+        pairs = pairs.filter(alike).filter(_close("_bitsa", "_bitsb", F.col("_na") + F.col("_nb")))
     pairs = common.materialise(pairs.select("a", "b"), f"{name}-pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = common.materialise(own.join(nodes, "node", "left_semi").select("at", "node"), f"{name}-nodes")  # written, so its size is known
@@ -395,7 +397,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     links = near
     for closest in (True, False):  # the first makes nearly all that is similar one class, the second loses nothing
         mark = common.made()
-        more = verified(across_classes(groups, components(links), own, closest), own, whole, "closest" if closest else "rest")
+        more = verified(across_classes(groups, components(links), own, closest), own, whole, "closest" if closest else "rest", judged=True)
         common.forget(mark, more)
         links = links.unionByName(more)
     linked = common.materialise(components(links).join(own.select("node", "own"), "node"), "components")
