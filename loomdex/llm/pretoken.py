@@ -22,7 +22,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 #: Longer pre-tokens are encoded but not kept.
 LONGEST = 64
 #: Entries of each generation of a worker's cache.
-CACHE = 131_072
+CACHE = 196_608
 
 #: The tokenizer's split pattern, its classes of letters and numbers written out for U+0000 to U+00FF.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
