@@ -17,6 +17,9 @@ hold several classes are compared across classes, in chunks of at most CHUNK, by
 parity is one bit for each of L places (two to four times its size), and two parities differ in no more places than
 the sets in shingles.  What passes is verified on the texts.
 
+Each plan costs the driver memory that its JVM keeps (generated and compiled code, statuses, threads), however few its rows.
+So up to BLOCK links are made classes by one task, and a comparison across classes without any mixed group is not planned.
+
 Shingles of a prefix travel as arrays, one row for each task and bucket (``_signatures``); equal sets
 within a task go once, so a text that a third of all rows share costs one entry a task.
 
@@ -52,6 +55,8 @@ LARGE = 64
 SAMPLE, FREQUENT = 10_000, 65_536
 #: Shingles that a task packs before it sends them on.
 FLUSH = 1 << 17
+#: Links whose classes one task finds; more take the star steps of ``simhash.components``.
+BLOCK = 1 << 18
 #: Fewest parity bits of a set.
 _PARITY = 512
 
@@ -311,6 +316,35 @@ def _pairs_batch(held):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["a", "b"])
 
 
+def _roots(batches):
+    """(node, root) for every node of the links (a, b), which come to one task: trees hook to the smallest root beside them until none can."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not sum(len(a) for a, _ in held):
+        return
+    nodes, ends = np.unique(np.concatenate([np.concatenate(x) for x in zip(*held)]), return_inverse=True)
+    one, two = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(one):
+        low = np.minimum(root[one], root[two])
+        np.minimum.at(root, np.concatenate([root[one], root[two]]), np.concatenate([low, low]))
+        while (above := root[root]).tobytes() != root.tobytes():
+            root = above
+        open_ = root[one] != root[two]
+        one, two = one[open_], two[open_]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+    common.give_back()
+
+
+def classes_of(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b), as ``components`` gives them; a written table."""
+    mark = common.made()
+    links = common.materialise(_in_order(links).distinct(), "links")
+    few = links.count() <= BLOCK
+    out = common.materialise(links.coalesce(1).mapInArrow(_roots, "node long, root long") if few else components(links), "classes")
+    common.forget(mark, out)
+    return out
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
 
@@ -336,12 +370,14 @@ def within_radius(own: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def across_classes(groups: DataFrame, classes: DataFrame, own: DataFrame, closest: bool) -> DataFrame:
-    """Candidate pairs within groups that still hold several classes; ``closest``: in LARGE ones, at most one for each row."""
+def across_classes(groups: DataFrame, classes: DataFrame, own: DataFrame, closest: bool) -> DataFrame | None:
+    """Candidate pairs within groups that still hold several classes, None without such groups; ``closest``: in LARGE ones, at most one for each row."""
     kinds = common.materialise(groups.join(classes, "node", "left").select("sig", "node", "code", F.coalesce("root", "node").alias("kind")), "kinds")
     mixed = kinds.groupBy("sig").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("rows")).filter("low <> high")
     mixed = mixed.filter(F.col("rows") > LARGE) if closest else mixed
     mixed = common.materialise(mixed.select("sig", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks")), "mixed")  # written, so its size is known
+    if mixed.isEmpty():
+        return None
     rows = kinds.join(mixed, "sig").join(own.select("node", "n", "bits"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("sig", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "node", "n", "kind", "code", "chunk", "bits")
@@ -394,13 +430,16 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     near = groups.filter("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b"))
     near = verified(within_radius(own).unionByName(near), own, whole, "near")
     common.forget(mark, near)
-    links = near
+    links, classes = near, classes_of(near)
     for closest in (True, False):  # the first makes nearly all that is similar one class, the second loses nothing
         mark = common.made()
-        more = verified(across_classes(groups, components(links), own, closest), own, whole, "closest" if closest else "rest", judged=True)
+        pairs = across_classes(groups, classes, own, closest)
+        more = verified(pairs, own, whole, "closest" if closest else "rest", judged=True) if pairs is not None else None
         common.forget(mark, more)
-        links = links.unionByName(more)
-    linked = common.materialise(components(links).join(own.select("node", "own"), "node"), "components")
+        if more is not None:
+            links = links.unionByName(more)
+            classes = classes_of(links)
+    linked = common.materialise(classes.join(own.select("node", "own"), "node"), "components")
     best = linked.groupBy("root").agg(F.min("own").alias("best"))
     better = linked.join(best, "root").select("node", "best")
     chosen = own.join(better, "node", "left").select("node", "c", "own", F.coalesce("best", "own").alias("best"))

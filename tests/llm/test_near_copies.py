@@ -153,3 +153,39 @@ def test_edge_rows(spark):
     classes = brute_classes([r.text for r in rows])
     got = near_copies.keep_one(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(rows[k].doc_id for k in set(classes))
+
+
+def test_few_links_take_one_task_and_no_star_steps(spark, monkeypatch):
+    """Each plan costs the driver memory that its JVM keeps, so small tables mustn't be planned in dozens of steps."""
+    names, write = [], near_copies.common.materialise
+    monkeypatch.setattr(near_copies.common, "materialise", lambda df, name: names.append(name) or write(df, name))
+    texts = some_texts()
+    rows = [(i, t, "en", "s", len(t), *["x"] * 8) for i, t in enumerate(texts)]
+    kept = [r.doc_id for r in near_copies.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept) == sorted(set(brute_classes(texts)))
+    assert not {"large-star", "small-star"} & set(names), names
+    assert len(names) <= 32, names
+
+
+def test_classes_are_the_same_by_one_task_and_by_star_steps(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = list(range(-40, 40))
+    rng.shuffle(chain)  # a long path whose labels are in no order
+    links = [*zip(chain, chain[1:]), *((100, 100 + k) for k in range(1, 9)), *((300, 300 - k) for k in range(1, 9)), (500, 500), (2**62, -(2**62))]
+    links += [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(45)]
+    parent = {x: x for pair in links for x in pair}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    for block in (near_copies.BLOCK, 0):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        got = near_copies.classes_of(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted((x, root(x)) for x in linked)
+        assert near_copies.classes_of(spark.createDataFrame([], "a long, b long")).count() == 0
