@@ -17,18 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable, scratch_path, spread
-
-#: Rows and bytes in one Arrow batch; both bound a Python worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
-
-
-def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and let Python workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    importable(spark)
-
+from ..session import prepare, scratch_path, spread  # noqa: F401 - prepare is for the operators
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back."""

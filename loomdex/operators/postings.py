@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import as_lines, bucket_of, clean_relative, let
 from ..functions.tokens import terms
-from ..session import spread
+from ..session import prepare, spread
+from .term_counts import LINES, counter
 
-LINES = 8
+#: What postings hold besides term and key.
+COLUMNS = {"tf": "long", "fields": "array<string>", "lines": "array<int>"}
 
 
 def _stretches(columns: list[str]):
@@ -52,22 +55,32 @@ def _runs(emitted: Column) -> Column:
     return let(F.sort_array(emitted), of)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", buckets: int | None = None, only: list[str] | None = None) -> DataFrame:
+def _asked(docs: DataFrame, key: str, only: list[str]) -> DataFrame:
+    """Postings of the terms ``only`` by Column expressions: stretches that hold none of them aren't cut into terms at all."""
+    holds = lambda s: F.exists(F.array(*(F.lit(t) for t in only)).cast("array<string>"), lambda t: F.contains(s, t))
+    stretches = F.filter(_stretches(docs.columns), lambda s: let(F.lower(s["text"]), holds))
+    of = lambda s: F.transform(F.filter(terms(s["text"]), lambda t: t.isin(*only)), lambda t: F.struct(t.alias("term"), s["line"].alias("line"), s["field"].alias("field")))
+    runs = let(F.flatten(F.transform(stretches, of)), lambda e: F.when(F.size(e) > 0, _runs(e)))
+    return spread(docs).select(key, F.explode(runs).alias("r")).select("r.term", key, "r.tf", "r.fields", "r.lines")
+
+
+def postings(docs: DataFrame, key: str = "doc_id", buckets: int | None = None, only: list[str] | None = None, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
     """term, ``key``, tf, fields, lines of ``docs`` (text or lines; rel_path, title, catalog and extra if there).
 
-    A document is one row, so its terms are sorted and counted within the row: a map, without any shuffle.  ``only``
-    keeps the terms of a query; stretches that hold none of them aren't cut into terms at all.  With ``buckets`` the
+    A document is one row, so its terms are counted within the row: a map of Arrow batches, without any shuffle.
+    ``columns`` says which of tf, fields and lines are made.  ``only`` keeps the terms of a query.  With ``buckets`` the
     term's bucket is added.
     """
-    stretches = _stretches(docs.columns)
     if only is not None:
-        holds = lambda s: F.exists(F.array(*(F.lit(t) for t in only)).cast("array<string>"), lambda t: F.contains(s, t))
-        stretches = F.filter(stretches, lambda s: let(F.lower(s["text"]), holds))
-    wanted = lambda t: (t != "") if only is None else t.isin(*only)
-    of = lambda s: F.transform(F.filter(terms(s["text"]), wanted), lambda t: F.struct(t.alias("term"), s["line"].alias("line"), s["field"].alias("field")))
-    emitted = F.flatten(F.transform(stretches, of))
-    runs = let(emitted, lambda e: F.when(F.size(e) > 0, _runs(e)))
-    out = spread(docs).select(key, F.explode(runs).alias("r")).select("r.term", key, "r.tf", "r.fields", "r.lines")
+        out = _asked(docs, key, only).select("term", key, *columns)
+    else:
+        prepare(docs.sparkSession)
+        named = {"rel_path": clean_relative(F.col("rel_path")).alias("path"), "title": F.col("title"), "catalog": F.col("catalog"), "extra": F.col("extra").alias("alias")}
+        given = [column for name, column in named.items() if name in docs.columns]
+        body = "lines" if "lines" in docs.columns else "text"
+        rows = spread(docs).select(F.col(key).alias("_key"), *given, body)
+        schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, T.DataType.fromDDL(COLUMNS[c])) for c in columns)])
+        out = rows.mapInArrow(counter(key, columns), schema)
     return out if buckets is None else out.withColumn("bucket", bucket_of(F.col("term"), buckets))
 
 

@@ -88,7 +88,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @_query(f"WITH {_postings_sql(_BODY_SQL)} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, array_to_string(lines, ',') AS lines FROM post")
 def postings_body(spark, sf_dir):
-    p = postings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    p = postings(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=("tf", "lines"))
     return p.select("doc_id", "term", "tf", F.concat_ws(",", F.transform("lines", lambda x: x.cast("string"))).alias("lines"))
 
 

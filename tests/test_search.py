@@ -118,3 +118,60 @@ def test_paths_of_hits_are_united_and_cut(spark):
     two = spark.createDataFrame([("a", 1.0), ("c", 2.0)], "path string, score double")
     assert [r.path for r in search.order_hits(search.unite([one, two]), 2).collect()] == ["c", "a"]
     assert [search.clamp_limit(x) for x in (None, 0, 7, 99)] == [8, 1, 7, 20]
+
+
+def brute(rows):
+    """Postings of (key, text or lines, path, title, catalog, extra) by the rules of a query's words, a line at a time."""
+    import re
+    from collections import defaultdict
+
+    from loomdex.functions.tokens import query_tokens
+
+    out = {}
+    for key, text, *fields in rows:
+        path, title, catalog, extra = fields or (None, None, None, None)
+        own = defaultdict(lambda: [0, set(), set()])
+        parts = [("path", 1, path and path.replace("\\", "/")), ("title", 1, title), *(("catalog", 1, c) for c in catalog or []), ("alias", 1, extra)]
+        parts += [("body", i, x) for i, x in enumerate(re.split("\r\n|\r|\n", text) if text is not None else [], 1)]
+        for field, line, x in parts:
+            for t in query_tokens(x or ""):
+                own[t][0] += 1
+                own[t][1].add(field)
+                own[t][2].add(line)
+        out |= {(key, t): (n, sorted(f), sorted(at)[:8]) for t, (n, f, at) in own.items()}
+    return out
+
+
+ODD = ["", None, "a.b.. A_b a_b a.b 中文x中 \r\n\rHTTPServer2Go é中Kİx naïve", "word " * 9 + "\nword\r" * 20, "x.", "Ａ 𠀀 豈豈豈 ﻿㐀", "HTTP http Http hTTP 12 a12B"]
+
+
+def test_postings_of_odd_texts_by_brute_force(spark):
+    rows = [(i, t, f"Dir\\a_B/{i}.md", None if i % 2 else "Word 中文", [None, "Cat", "cat"] if i % 3 else None, "alias a_b") for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rel_path string, title string, catalog array<string>, extra string")
+    found = postings(df).collect()
+    assert {(r.doc_id, r.term): (r.tf, r.fields, r.lines) for r in found} == brute(rows) and len(found) == len(brute(rows))
+    body = brute([r[:2] for r in rows])
+    for columns in ((), ("tf",), ("lines",), ("tf", "fields")):
+        got = postings(df.select("doc_id", "text"), columns=columns)
+        assert got.columns == ["term", "doc_id", *columns]
+        want = {k: [v[("tf", "fields", "lines").index(c)] for c in columns] for k, v in body.items()}
+        assert {(r.doc_id, r.term): list(r[2:]) for r in got.collect()} == want
+
+
+def test_postings_make_no_object_of_an_emission(spark):
+    """Column expressions over every emission were what took the time."""
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    for columns in ((), ("tf", "lines")):
+        plan = postings(df, columns=columns)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "sort_array" not in plan and "MapInArrow" in plan
+
+
+def test_long_texts_are_counted_within_seconds(spark):
+    import time
+
+    text = "".join(chr(0x4E00 + i * i % 97) for i in range(500_000)) + " word_Part.x" * 50_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    postings(spark.createDataFrame([(1, "a")], "doc_id long, text string")).count()
+    start = time.time()
+    assert postings(df, columns=("tf",)).agg(F.sum("tf")).first()[0] == 500_000 + 499_999 + 50_000 * len({"word_part.x", "word", "part", "x"})
+    assert time.time() - start < 10
