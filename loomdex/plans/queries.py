@@ -94,7 +94,7 @@ def postings_body(spark, sf_dir):
 
 @_query(f"WITH {_postings_sql(_FIELDS_SQL)} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, array_to_string(fields, ',') AS fields FROM post")
 def postings_fielded(spark, sf_dir):
-    return postings(_fielded(spark, sf_dir)).select("doc_id", "term", "tf", F.concat_ws(",", "fields").alias("fields"))
+    return postings(_fielded(spark, sf_dir), columns=("tf", "fields")).select("doc_id", "term", "tf", F.concat_ws(",", "fields").alias("fields"))
 
 
 @_query(f"WITH {_postings_sql(_BODY_SQL)} SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY df DESC, term LIMIT 100")
