@@ -24,10 +24,12 @@ FIELDS = ("alias", "body", "catalog", "path", "title")
 LINES = 8
 #: The two kinds of runs, which share no character, and the first bytes of all CJK characters in UTF-8.
 _IDENTIFIER, _CJK_RUN, _MAYBE_CJK = re.compile(rb"[A-Za-z0-9_][A-Za-z0-9_.]*"), re.compile(f"[{CJK}]+"), re.compile(b"[\xe3-\xe9\xef]")
-_COMPOUND = re.compile(COMPOUND.encode())
+_COMPOUND, _CJK_RANGES = re.compile(COMPOUND.encode()), [(ord(CJK[i]), ord(CJK[i + 2])) for i in (0, 3)]
 _ENDS = re.compile(b"\r\n?")
 #: Runs whose terms a worker remembers, the longest of them, and rows in one batch that goes back.
 CACHED, CACHED_LENGTH, ROWS = 1 << 16, 64, 1 << 16
+#: Texts of fewer characters have their CJK terms counted without arrays.
+SHORT = 512
 
 
 class _Terms(dict):
@@ -51,12 +53,28 @@ class _Terms(dict):
             for t in self[run]:
                 found[t] = found.get(t, 0) + n
         if not text.isascii() and _MAYBE_CJK.search(text):
-            runs = "\n".join(_CJK_RUN.findall(text.decode("utf-8", "replace")))
-            for grams in (Counter(runs), Counter(map(add, runs, islice(runs, 1, None)))):
-                found.update({t.encode(): n for t, n in grams.items() if "\n" not in t})
+            found.update({t.encode(): n for t, n in _cjk_counts(text.decode("utf-8", "replace"))})
         return found
 
 
+def _cjk_counts(text: str) -> Iterator[tuple[str, int]]:
+    """How often each CJK character, and each pair within a run, occurs; arrays pay from some hundred characters on."""
+    if len(text) < SHORT:
+        runs = "\n".join(_CJK_RUN.findall(text))
+        for grams in (Counter(runs), Counter(map(add, runs, islice(runs, 1, None)))):
+            yield from ((t, n) for t, n in grams.items() if "\n" not in t)
+        return
+    codes = np.frombuffer(text.encode("utf-32-le"), np.dtype("<u4"))
+    held = np.zeros(len(codes), bool)
+    for first, last in _CJK_RANGES:
+        held |= (codes >= first) & (codes <= last)
+    both, wide = held[:-1] & held[1:], codes.astype("<u8")
+    for width, grams in ((1, codes[held]), (2, wide[:-1][both] | wide[1:][both] << np.uint64(32))):
+        found, counts = np.unique(grams, return_counts=True)
+        letters = found.tobytes().decode("utf-32-le")
+        yield from zip((letters[k : k + width] for k in range(0, len(letters), width)), counts.tolist())
+
+
 def _body(text: bytes | None, lines: list | None, numbered: bool) -> Iterator[tuple[int, bytes]]:
     """(number, line) of a body; if numbers aren't asked for, all of it at once."""
     if lines is None:

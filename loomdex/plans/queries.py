@@ -207,7 +207,7 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY te
 def cjk_terms(spark, sf_dir):
     """Terms of texts in CJK characters: each of them and each pair within a run."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), _LETTERS, _CJK_LETTERS).alias("text"))
-    return postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return postings(d, columns=("tf",)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @_query("""WITH h AS (SELECT doc_id, lower(source || '/' || doc_id || '.txt') AS head, lower(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS body FROM documents)

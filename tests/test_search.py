@@ -166,6 +166,15 @@ def test_postings_make_no_object_of_an_emission(spark):
         assert "lambda" not in plan and "sort_array" not in plan and "MapInArrow" in plan
 
 
+def test_cjk_terms_of_short_and_long_texts_are_the_same():
+    from loomdex.operators import term_counts
+
+    text = "".join(chr(c) for c in (0x33FF, 0x3400, 0x9FFF, 0xA000, 0xF8FF, 0xF900, 0xFAFF, 0xFB00, 0x20000, 0x4E00, 0x4E00, 0x4E00)) + "中文 中\n文é"
+    once, long = dict(term_counts._cjk_counts(text)), dict(term_counts._cjk_counts((text + "\n") * 100))
+    assert len(text) < term_counts.SHORT and long == {t: 100 * n for t, n in once.items()} and {"\u3400\u9fff", "一一", "中文"} < set(once)
+    assert once["一"] == 3 and once["一一"] == 2 and not any(t in once for t in ("\u33ff", "\ua000", "\ufb00", "\n"))
+
+
 def test_long_texts_are_counted_within_seconds(spark):
     import time
 
