@@ -99,7 +99,7 @@ def postings_fielded(spark, sf_dir):
 
 @_query(f"WITH {_postings_sql(_BODY_SQL)} SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY df DESC, term LIMIT 100")
 def df_top_terms(spark, sf_dir):
-    return document_frequencies(postings(_table(spark, sf_dir, "documents").select("doc_id", "text"))).orderBy(F.desc("df"), "term").limit(100)
+    return document_frequencies(postings(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=())).orderBy(F.desc("df"), "term").limit(100)
 
 
 def _asked(docs: DataFrame, query: str) -> DataFrame:
