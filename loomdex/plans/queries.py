@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.tokens import terms
 from ..operators import chunks, notes, ownership, search
 from ..operators.postings import document_frequencies, postings
 from ..session import scratch_path
@@ -542,7 +541,8 @@ SELECT p_partkey, term, count(*) AS tf FROM (SELECT p_partkey, unnest({_TERMS_SQ
 def identifier_terms(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("Of")), F.lit("."), "p_brand", F.lit("_"), "p_type")
-    return p.select("p_partkey", F.explode(terms(name)).alias("term")).filter("term <> ''").groupBy("p_partkey", "term").agg(F.count("*").alias("tf"))
+    # Names of one part come together before they are cut into terms: a row is what a task holds, not all its terms.
+    return postings(p.groupBy("p_partkey").agg(F.collect_list(name).alias("lines")), key="p_partkey", columns=("tf",)).select("p_partkey", "term", "tf")
 
 
 @_query(f"""WITH parts AS ({_CHUNK_SQL}), t AS (SELECT doc_id, {_lines_sql('text')} AS ls FROM documents)

@@ -184,3 +184,15 @@ def test_long_texts_are_counted_within_seconds(spark):
     start = time.time()
     assert postings(df, columns=("tf",)).agg(F.sum("tf")).first()[0] == 500_000 + 499_999 + 50_000 * len({"word_part.x", "word", "part", "x"})
     assert time.time() - start < 10
+
+
+def test_identifier_terms_are_counted_within_a_part(spark, tmp_path):
+    from loomdex.plans.queries import identifier_terms
+
+    rows = [(1, "blue Sky", "Brand#1", "SMALL Box"), (1, "blue red", "Brand#1", "SMALL Box"), (2, None, "B", "T"), (None, "x", "B", "T"), (None, "x", "B", "T")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    out = identifier_terms(spark, str(tmp_path))
+    got = {(r.p_partkey, r.term): r.tf for r in out.collect()}
+    assert got[1, "blue"] == 2 and got[1, "brand"] == 2 and got[None, "x"] == 2 and not any(k == 2 for k, _ in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
